@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, counts, decontaminate, pieces, pii, rules, shards, store, toxicity
+from . import chat, counts, decontaminate, jaccard, pieces, pii, rules, shards, store, toxicity
 from .common import read
 
 
@@ -34,6 +34,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(read(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -55,7 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_token_store, op4_decontamination, op6_toxicity, op7_pii, op8_token_counts, op9_sharding, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_sentencepiece, op3_token_store, op4_decontamination, op5_ngram_jaccard, op6_toxicity, op7_pii, op8_token_counts, op9_sharding, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

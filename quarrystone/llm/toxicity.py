@@ -10,7 +10,8 @@ own subsequences only.
 Labels stand on documents. A labelled sentence's evidence is in its words: words whose documents are toxic far more
 often than chance allows (a bound that grows with the number of words tried) are the positive examples; words
 of documents without that label are negative ones, at first drawn by hash, then those that score highest. A document
-scores by its highest word, through a logistic curve fitted on the training documents. Letters are taken in lower
+scores by its highest words and the share of words above the margin, through a logistic curve fitted on the training
+documents. Letters are taken in lower
 case; other characters inside a word are skipped; runs of single letters are read as one word; a word over LONG
 letters is read in overlapping parts.
 
@@ -36,6 +37,7 @@ from .common import fold, slices, staged
 DECAY, SPAN, LONG = 0.7, 6, 24
 SAMPLE, POSITIVE, NEGATIVE, LANDMARKS, ROUNDS = 8000, 200, 3000, 96, 3
 HELD_OUT, THRESHOLD = 2, 0.3
+FEATURES = 3
 #: Words whose scores a worker remembers.
 MEMO = 600_000
 
@@ -104,8 +106,7 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
 class Machine:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(_DIM))
     bias: float = -1.0
-    slope: float = 0.0
-    base: float = -40.0
+    curve: tuple[float, ...] = (0.0, 0.0, 0.0, -40.0)
 
     def words(self, words: list[str]) -> np.ndarray:
         """Decision values of words; words that have no subsequence get the bias."""
@@ -117,8 +118,9 @@ class Machine:
         np.maximum.at(out, owner, parts)
         return out
 
-    def score(self, value: float) -> float:
-        return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * value + self.base))))
+    def score(self, evidence: np.ndarray) -> np.ndarray:
+        at = evidence @ np.array(self.curve[:-1]) + self.curve[-1]
+        return 1 / (1 + np.exp(-np.clip(at, -40, 40)))
 
 
 def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.05) -> np.ndarray:
@@ -158,7 +160,8 @@ class Scorer:
     def __init__(self, machine: Machine):
         self.machine, self.memo = machine, {}
 
-    def texts(self, texts: list[bytes]) -> list[float]:
+    def texts(self, texts: list[bytes]) -> np.ndarray:
+        """Per text: value of its highest distinct word, of the second, and the log share of words over 0."""
         cut = [t.split() for t in texts]
         wanted = set().union(*cut)
         missing = wanted - self.memo.keys()
@@ -168,12 +171,16 @@ class Scorer:
         new = [*missing]
         for i in range(0, len(new), 4096):
             self.memo.update(zip(new[i : i + 4096], self.of(new[i : i + 4096]), strict=True))
-        get = self.memo.__getitem__
-        out = [max(map(get, words), default=self.machine.bias) for words in cut]
+        get, bias = self.memo.__getitem__, self.machine.bias
+        out = np.empty((len(texts), FEATURES))
         for k, words in enumerate(cut):
+            values = np.fromiter(map(get, words), np.float64, len(words))
             spelt = self.spelt(words)
             if spelt:
-                out[k] = max(out[k], *self.machine.words(spelt).tolist())
+                values = np.concatenate([values, self.machine.words(spelt)])
+            first = values.max(initial=bias)
+            second = values[values < first].max(initial=bias)
+            out[k] = first, second, math.log((np.count_nonzero(values > 0) + 0.2) / (len(values) + 20))
         return out
 
     def of(self, words: list[bytes]) -> list[float]:
@@ -224,8 +231,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
         good = [*dict.fromkeys([r["word"] for r in worst if r["word"] not in known_bad] + good)]
         machine = train_words(good, bad)
     seen = score_rows(rows, machine, "toxic").collect()  # at most as many rows as the sample has documents
-    x, y = np.array([r["value"] for r in seen]), np.array([r["toxic"] for r in seen], float)
-    machine.slope, machine.base = _logistic(x, y)
+    machine.curve = _logistic(np.array([r["evidence"] for r in seen]), np.array([r["toxic"] for r in seen], float))
     return machine
 
 
@@ -238,24 +244,24 @@ def _top(words: DataFrame, machine: Machine) -> DataFrame:
     return words.select("word").mapInArrow(run, "word string, value double")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and base of a logistic curve, with a slight pull to 0."""
-    a = np.stack([x, np.ones_like(x)], 1)
-    w = np.zeros(2)
-    for _ in range(50):
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Slopes and base of a logistic curve, with a slight pull to 0."""
+    a = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(a.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + np.eye(2) * 1e-2
-        w = w - np.clip(np.linalg.solve(h, a.T @ (p - y) + 1e-2 * w), -5, 5)
-    return float(w[0]), float(w[1])
+        h = a.T @ (a * (p * (1 - p) + 1e-9)[:, None]) + np.eye(len(w)) * 1e-2
+        w = w - np.clip(np.linalg.solve(h, a.T @ (p - y) + 1e-2 * w), -3, 3)
+    return tuple(w.tolist())
 
 
 _SCORERS: dict[int, Scorer] = {}
 
 
 def score_rows(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
-    """(keep, value, score) of every row: highest decision value of its words, and its probability."""
+    """(keep, evidence, score) of every row: what its words show, and the probability."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # a weight per subsequence: fixed size
-    mark = xxhash.xxh64_intdigest(machine.weights.tobytes() + np.float64([machine.bias, machine.slope, machine.base]).tobytes())
+    mark = xxhash.xxh64_intdigest(machine.weights.tobytes() + np.float64([machine.bias, *machine.curve]).tobytes())
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,9 +272,9 @@ def score_rows(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
         for rows, texts in slices(batches):
             values = scorer.texts(texts)
             own = [rows.column(rows.schema.get_field_index(k)) for k in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(values, pa.float64()), pa.array(map(scorer.machine.score, values), pa.float64())], names=[*keep, "value", "score"])
+            yield pa.RecordBatch.from_arrays([*own, pa.array(values.tolist(), pa.list_(pa.float64())), pa.array(scorer.machine.score(values))], names=[*keep, "evidence", "score"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, value double, score double")
+    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, evidence array<double>, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
