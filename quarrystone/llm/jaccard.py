@@ -11,8 +11,11 @@ A pair needs the smaller of both numbers, counted over the shorter prefixes of b
 
 A group of near copies must not become all its pairs. So first, in each shingle's rows by length, a document is
 paired with the leader of its run only; these pairs are verified and give components. Then pairs are formed
-between different components alone: per shingle, pairs of components, then of their documents there. Every pair
-that could link two components is verified by exact intersection, so none is lost.
+between different components alone. Documents of one component that stand alike under a shingle (same length, same
+place of the shingle in the prefix) form one bundle; bundles are joined, and only bundles that can still link are
+unfolded. They can if the lengths allow it and the places do: shingles before the first one that two
+documents share cannot be shared, which bounds their intersection. Every pair that could link two components is
+verified by exact intersection, so none is lost.
 
 Null and wordless texts have an empty set and link with nothing. A text of fewer words than a shingle is one
 shingle. Rows with one doc_id count as one document of the class graph; null ids have no component.
@@ -35,7 +38,8 @@ from .graph import components
 HEAVY = 200_000
 #: Shingles a task gathers before it counts them; counts under LEAST in such a block are left out.
 BLOCK, LEAST = 3_000_000, 3
-MATCHES, VERIFY, CHANCE = 8, 50.0, 0.1
+#: Most matches asked for; costs of a verification and of a joined row against an emitted row; joined rows per rare shingle.
+MATCHES, VERIFY, SCAN, CHANCE = 4, 50.0, 10.0, 0.1
 _BITS = 23
 _IDS = WordIds()
 
@@ -80,7 +84,7 @@ def prefix(own: np.ndarray, weight: np.ndarray, percent: int) -> tuple[np.ndarra
     order = np.lexsort((own, weight))[: min(n, base + MATCHES - 1)]
     cost = np.cumsum(weight[order] - 1 + CHANCE)
     most = max(1, min(MATCHES, need, len(order) - base + 1))
-    matches = 1 + int(np.argmin([VERIFY * cost[base + m - 2] / m**2 + base + m for m in range(1, most + 1)]))
+    matches = 1 + int(np.argmin([(VERIFY / m**2 + SCAN) * cost[base + m - 2] + base + m for m in range(1, most + 1)]))
     return own[order[: base + matches - 1]], base
 
 
@@ -117,7 +121,7 @@ def _runs(percent: int):
         def emit(out: list[tuple]) -> pa.RecordBatch:
             columns = [*zip(*out, strict=True)] or [()] * 6
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["token", "doc", "n", "level", "matches", "leader"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["token", "doc", "n", "at", "matches", "leader"])
 
         for batch in batches:
             tokens = batch.column(0).to_numpy()
@@ -203,17 +207,21 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
 
 
 def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents in different components that share enough of their prefixes. rows: token, doc, n, level, matches, comp."""
+    """Pairs (a, b) of documents in different components that share enough of their prefixes. rows: token, doc, n, at, matches, comp."""
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     rows = staged(rows.join(mixed, "token", "left_semi"), "mixed")
-    held = rows.select("token", "comp").distinct()
-    met = held.select("token", F.col("comp").alias("ca")).join(held.select("token", F.col("comp").alias("cb")), "token").where("ca < cb")
-    side = lambda k: rows.select("token", F.col("comp").alias(f"c{k}"), F.col("doc").alias(k), F.col("n").alias(f"n{k}"), F.col("level").alias(f"l{k}"), F.col("matches").alias(f"m{k}"))
-    long_enough = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    least = F.least("ma", "mb")
-    every = met.join(side("a"), ["token", "ca"]).join(side("b"), ["token", "cb"]).where(long_enough & (F.greatest("la", "lb") <= least))
-    counted = every.groupBy("a", "b").agg(F.count("*").alias("shared"), F.first(least).alias("least"))
-    return counted.where("shared >= least").select("a", "b")
+    bundles = rows.select("token", "comp", "n", "at", "matches").distinct()
+    side = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "token"])
+    least = F.least("matches_a", "matches_b")
+    level = lambda k: F.greatest(F.lit(1), F.col(f"at_{k}") + F.expr(f"(({percent} * n_{k} + 99) div 100)") - F.col(f"n_{k}") + 1)
+    shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + least - 1
+    once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("comp_a") < F.col("comp_b")))
+    can = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)) & (F.greatest(level("a"), level("b")) <= least)
+    met = side(bundles, "a").join(side(bundles, "b"), "token").where((F.col("comp_a") != F.col("comp_b")) & once & can)
+    keys = lambda k: ["token", *[f"{c}_{k}" for c in ("comp", "n", "at", "matches")]]
+    every = met.join(side(rows, "a").select("doc_a", *keys("a")), keys("a")).join(side(rows, "b").select("doc_b", *keys("b")), keys("b"))
+    counted = every.groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared"), F.first(least).alias("least"))
+    return counted.where("shared >= least").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
 
 
 def similar(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
@@ -228,13 +236,13 @@ def similar(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     filled = features.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "base", "prefix")).alias("r"))
     tokens = reps.select(F.posexplode("r.prefix").alias("at", "token"), F.col("r.doc_id").alias("doc"), F.col("r.n").alias("n"), F.col("r.base").alias("base"), F.size("r.prefix").alias("size"))
-    rows = tokens.select("token", "doc", "n", F.greatest(F.lit(1), F.col("at") - F.col("base") + 2).cast("int").alias("level"), (F.col("size") - F.col("base") + 1).cast("int").alias("matches"))
+    rows = tokens.select("token", "doc", "n", "at", (F.col("size") - F.col("base") + 1).cast("int").alias("matches"))
     ordered = rows.repartition("token").sortWithinPartitions("token", "n", "doc")
-    runs = staged(ordered.mapInArrow(_runs(percent), "token long, doc long, n long, level int, matches int, leader long"), "runs")
+    runs = staged(ordered.mapInArrow(_runs(percent), "token long, doc long, n long, at int, matches int, leader long"), "runs")
     stars = runs.where("leader <> doc").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.min("matches").alias("least"))
     first = verify(staged(stars.where("shared >= least").select("a", "b"), "stars"), texts, width, percent)
     known = components(first)
-    placed = runs.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", "level", "matches", F.coalesce("component", "doc").alias("comp"))
+    placed = runs.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", "at", "matches", F.coalesce("component", "doc").alias("comp"))
     second = verify(staged(cross_pairs(placed, percent), "pairs"), texts, width, percent)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
     named = reps.select("digest", F.col("r.doc_id").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
