@@ -28,8 +28,10 @@ from .common import mix, slices
 SPACE = "▁"
 UNIT = 64
 #: Units whose lattices a worker keeps; then it starts anew.
-UNITS = 300_000
+UNITS = 160_000
+_GRID = float(1 << 24)
 _CUT = re.compile(" +[^ ]*")
+_BASE = 0x9E3779B97F4A7C15
 _SCALE = 1000.0  # per character, against underflow
 _RARE = 1e-7
 
@@ -55,49 +57,79 @@ class Lattices:
                 rank = min(-model.get_score(i), size)
                 self.weight[piece.replace(SPACE, " ")] = i, (1 / (rank + 2)) ** sharpness / total * _SCALE ** len(piece)
                 self.bytes.append(piece.replace(SPACE, " ").encode())
-        self.longest = max(map(len, self.weight))
+        self.tables = self._tables()
         self.reset()
 
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length: hashes of the pieces of that length in order, their ids and weights."""
+        by_length: dict[int, list[tuple[int, int, float]]] = {}
+        for piece, (i, w) in self.weight.items():
+            h = 0
+            for c in piece:
+                h = (h * _BASE + ord(c) + 1) % (1 << 64)
+            by_length.setdefault(len(piece), []).append((h, i, w))
+        out = []
+        for k in range(1, max(by_length) + 1):
+            rows = sorted(by_length.get(k, []))
+            out.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows])))
+        return out
+
     def reset(self) -> None:
         self.units: dict[str, int] = {}
-        self.first: list[int] = []
-        self.last: list[int] = []
+        self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.nodes = 0
-        self.keys, self.back, self.piece = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.back, self.piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def add(self, units: list[str]) -> None:
-        keys: list[float] = []
-        back: list[int] = []
-        piece: list[int] = []
-        weight, longest = self.weight, self.longest
-        for unit in units:
-            n, base = len(unit), self.nodes
-            forward = [0.0] * (n + 1)
-            forward[0] = 1.0
-            for end in range(1, n + 1):
-                at, own, ways, found = 0.0, [], [], False
-                for start in range(max(0, end - longest), end):
-                    hit = weight.get(unit[start:end])
-                    if hit:
-                        at += forward[start] * hit[1]
-                        own.append(hit[0])
-                        ways.append((start, at))
-                        found = found or start == end - 1
-                if not found:
-                    at += forward[end - 1] * _RARE * _SCALE
-                    own.append(-ord(unit[end - 1]) - 1)
-                    ways.append((end - 1, at))
-                forward[end] = at
-                keys += [base + end + c / at for _, c in ways]
-                back += [base + s for s, _ in ways]
-                piece += own
-            self.units[unit] = len(self.first)
-            self.first.append(base)
-            self.last.append(base + n)
-            self.nodes = base + n + 1
-        self.keys = np.concatenate([self.keys, np.array(keys)])
-        self.back = np.concatenate([self.back, np.array(back, np.int64)])
-        self.piece = np.concatenate([self.piece, np.array(piece, np.int64)])
+        """Lattices of new units, all at once. A unit of n characters has n + 1 nodes; an edge is a piece between two."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(units)), sizes)
+        starts = np.cumsum(sizes) - sizes
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # characters from here to the end of the unit
+        local = np.arange(len(codes)) - np.repeat(starts, sizes)
+        hashes = np.zeros(len(codes), np.uint64)
+        parts = []
+        for k, (known, ids, weights) in enumerate(self.tables, 1):
+            at = np.flatnonzero(left >= k)
+            if not len(at):
+                break
+            hashes[at] = hashes[at] * np.uint64(_BASE) + codes[at + k - 1] + np.uint64(1)
+            found = np.minimum(np.searchsorted(known, hashes[at]), max(0, len(known) - 1))
+            hit = known[found] == hashes[at] if len(known) else np.zeros(len(at), bool)
+            parts.append((at[hit], np.full(int(hit.sum()), k), ids[found[hit]], weights[found[hit]]))
+            if k == 1:
+                alone = at[~hit]
+                parts.append((alone, np.ones(len(alone), np.int64), -codes[alone].astype(np.int32) - 1, np.full(len(alone), _RARE * _SCALE)))
+        at, length, piece, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((at, at + length))  # by end, then start; nodes are characters plus one per unit before
+        at, length, piece, weight = at[order], length[order], piece[order], weight[order]
+        start = at + owner[at]
+        end = start + length
+        step = local[at] + length
+        forward = np.zeros(len(codes) + len(units))
+        forward[starts + np.arange(len(units))] = 1.0
+        by_step = np.argsort(step, kind="stable")
+        bounds = np.searchsorted(step[by_step], np.arange(1, int(sizes.max(initial=0)) + 2))
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            e = by_step[a:b]
+            np.add.at(forward, end[e], forward[start[e]] * weight[e])
+        share = forward[start] * weight / forward[end]
+        group = np.cumsum(np.concatenate([[True], end[1:] != end[:-1]])) - 1 if len(end) else np.zeros(0, np.int64)
+        head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(end) else np.zeros(0, np.int64)
+        rank = np.arange(len(end)) - head[group]
+        table = np.zeros((len(head), int(rank.max(initial=0)) + 1))
+        table[group, rank] = share
+        until = np.floor(np.cumsum(table, axis=1)[group, rank] * _GRID + 0.5) / _GRID  # on a grid, so that sums are exact anywhere
+        tail = np.concatenate([head[1:], [len(end)]]) - 1 if len(end) else head
+        until[tail] = 1.0
+        self.units.update(zip(units, range(len(self.first), len(self.first) + len(units)), strict=True))
+        first = starts + np.arange(len(units)) + self.nodes
+        self.first, self.last = np.concatenate([self.first, first]), np.concatenate([self.last, first + sizes])
+        self.keys = np.concatenate([self.keys, end + self.nodes + until])
+        self.back = np.concatenate([self.back, (start + self.nodes).astype(np.int32)])
+        self.piece = np.concatenate([self.piece, piece])
+        self.nodes += len(codes) + len(units)
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """Piece ids of each text."""
@@ -114,10 +146,10 @@ class Lattices:
         begin = np.cumsum(counts) - counts
         place = np.arange(len(unit)) - np.repeat(begin, counts)
         seed = mix(np.repeat(seeds, counts) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-        first, at = np.array(self.first, np.int64)[unit], np.array(self.last, np.int64)[unit]
+        first, at = self.first[unit], self.last[unit]
         live, steps = np.arange(len(unit)), []
         while len(live):
-            u = ((mix(seed[live] + np.uint64(len(steps) + 1)) >> np.uint64(40)).astype(np.float64) + 0.5) / (1 << 24)
+            u = ((mix(seed[live] + np.uint64(len(steps) + 1)) >> np.uint64(40)).astype(np.float64) + 0.5) / _GRID
             edge = np.searchsorted(self.keys, at[live] + u, "right")
             steps.append((live, self.piece[edge]))
             at[live] = self.back[edge]
@@ -147,18 +179,25 @@ def lattices(path: str, sharpness: float) -> Lattices:
     return Lattices(path, sharpness)
 
 
+def _sampled(model: Lattices, keys: pa.Array, texts: list[bytes], seed: int) -> list[np.ndarray]:
+    own = keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    return model.sample([t.decode("utf-8", "replace") for t in texts], mix(own + np.uint64(seed)))
+
+
+def _lists(ids: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
+
+
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", seed: int = 11, sharpness: float = 2.0) -> DataFrame:
     """docs with `pieces`, the sampled ids of text."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattices(model_path, sharpness)
-        for rows, texts in slices(batches, budget=2 << 20):
-            keys = np.array([k or 0 for k in rows.column(rows.schema.get_field_index(key)).to_pylist()], np.int64).view(np.uint64)
-            ids = model.sample([t.decode("utf-8", "replace") for t in texts], mix(keys + np.uint64(seed)))
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.RecordBatch.from_arrays([*rows.columns, found], names=[*rows.schema.names, "pieces"])
+        for rows, texts in slices(batches, budget=1 << 20):
+            ids = _sampled(model, rows.column(rows.schema.get_field_index(key)), texts, seed)
+            yield pa.RecordBatch.from_arrays([*rows.columns, _lists(ids)], names=[*rows.schema.names, "pieces"])
 
     return docs.drop("pieces").mapInArrow(run, f"{fields}, pieces array<int>")
 
@@ -178,8 +217,14 @@ def decode(rows: DataFrame, model_path: str, sharpness: float = 2.0) -> DataFram
     return rows.mapInArrow(run, f"{fields}, decoded string")
 
 
-def encoded_report(docs: DataFrame, model_path: str) -> DataFrame:
-    """(doc_id, n_pieces, pieces, lossless): lossless tells whether decoding gave the text back."""
-    rows = decode(encode(docs.select("doc_id", "text"), model_path), model_path)
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return rows.select("doc_id", F.size("pieces").cast("long").alias("n_pieces"), "pieces", same.alias("lossless"))
+def encoded_report(docs: DataFrame, model_path: str, seed: int = 11, sharpness: float = 2.0) -> DataFrame:
+    """(doc_id, n_pieces, pieces, lossless): `encode`, and in the same pass whether decoding gives the text back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = lattices(model_path, sharpness)
+        for rows, texts in slices(batches, budget=1 << 20):
+            keys, ids = rows.column("doc_id"), _sampled(model, rows.column("doc_id"), texts, seed)
+            same = [model.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays([keys, pa.array([len(i) for i in ids], pa.int64()), _lists(ids), pa.array(same)], names=["doc_id", "n_pieces", "pieces", "lossless"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_pieces long, pieces array<int>, lossless boolean")
