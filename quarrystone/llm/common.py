@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 _OWN: list[str] = []
 
 #: Words one worker remembers at most; further ones are hashed or encoded anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 250_000
+_HELD: dict[str, Callable[[], None]] = {}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,6 +68,13 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", budget: int
             start = end
 
 
+def hold(owner: str, clear: Callable[[], None]) -> None:
+    """Says that this worker now remembers things for `owner`; what it remembered for others goes, as workers outlive stages."""
+    for other in [x for x in _HELD if x != owner]:
+        _HELD.pop(other)()
+    _HELD[owner] = clear
+
+
 class WordIds(dict):
     """64-bit id of each word (bytes), remembered."""
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, mix, shingles, slices
+from .common import WordIds, hold, mix, shingles, slices
 
 WIDTH, LEAST = 5, 0.8
 BLOCK = 16 << 20
@@ -87,6 +87,7 @@ class Items:
 
 def _search(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("decontaminate", _IDS.clear)
         for rows, texts in slices(batches):
             out = [(d, *found) for d, t in zip(rows.column("doc_id").to_pylist(), texts, strict=True) for found in items.search(_IDS.of(t.split()))]
             columns = [*zip(*out, strict=True)] or [(), (), (), ()]

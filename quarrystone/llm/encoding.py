@@ -14,7 +14,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces a worker remembers at most (about 200 bytes each); then it starts anew.
-MEMO_PIECES = 800_000
+MEMO_PIECES = 500_000
 _WHITE = "\x85"
 
 

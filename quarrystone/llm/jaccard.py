@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, mix, shingles, slices, staged
+from .common import WordIds, hold, mix, shingles, slices, staged
 from .graph import components
 
 #: Shingles whose counts order prefixes: the HEAVY most frequent. Others count as rare.
@@ -56,6 +56,7 @@ def _heavy(width: int):
             big = n >= LEAST
             return pa.RecordBatch.from_arrays([pa.array(value[big].view(np.int64)), pa.array(n[big])], names=["h", "n"])
 
+        hold("jaccard", _IDS.clear)
         held: list[np.ndarray] = []
         size = 0
         for _, texts in slices(batches):
@@ -91,6 +92,7 @@ def prefix(own: np.ndarray, weight: np.ndarray, percent: int) -> tuple[np.ndarra
 def _features(width: int, percent: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = heavy.value
+        hold("jaccard", _IDS.clear)
         for rows, texts in slices(batches):
             n, digest, tokens, bases = [], [], [], []
             for t in texts:
@@ -155,6 +157,7 @@ def _runs(percent: int):
 def _sets(width: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = wanted.value
+        hold("jaccard", _IDS.clear)
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy().astype(np.int64)
             near = batch.filter(pa.array(bits[(mix(ids.view(np.uint64)) >> np.uint64(64 - _BITS)).astype(np.int64)]))

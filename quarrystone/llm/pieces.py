@@ -23,12 +23,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, slices
+from .common import hold, mix, slices
 
 SPACE = "▁"
 UNIT = 64
 #: Units whose lattices a worker keeps; then it starts anew.
-UNITS = 160_000
+UNITS = 120_000
 _GRID = float(1 << 24)
 _CUT = re.compile(" +[^ ]*")
 _BASE = 0x9E3779B97F4A7C15
@@ -195,6 +195,7 @@ def encode(docs: DataFrame, model_path: str, key: str = "doc_id", seed: int = 11
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattices(model_path, sharpness)
+        hold("pieces", model.reset)
         for rows, texts in slices(batches, budget=1 << 20):
             ids = _sampled(model, rows.column(rows.schema.get_field_index(key)), texts, seed)
             yield pa.RecordBatch.from_arrays([*rows.columns, _lists(ids)], names=[*rows.schema.names, "pieces"])
@@ -208,6 +209,7 @@ def decode(rows: DataFrame, model_path: str, sharpness: float = 2.0) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattices(model_path, sharpness)
+        hold("pieces", model.reset)
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
@@ -222,6 +224,7 @@ def encoded_report(docs: DataFrame, model_path: str, seed: int = 11, sharpness:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattices(model_path, sharpness)
+        hold("pieces", model.reset)
         for rows, texts in slices(batches, budget=1 << 20):
             keys, ids = rows.column("doc_id"), _sampled(model, rows.column("doc_id"), texts, seed)
             same = [model.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)]

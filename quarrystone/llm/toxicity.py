@@ -32,14 +32,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, slices, staged
+from .common import fold, hold, slices, staged
 
 DECAY, SPAN, LONG = 0.7, 6, 24
 SAMPLE, POSITIVE, NEGATIVE, LANDMARKS, ROUNDS = 8000, 200, 3000, 96, 3
 HELD_OUT, THRESHOLD = 2, 0.3
 FEATURES = 3
 #: Words whose scores a worker remembers.
-MEMO = 600_000
+MEMO = 250_000
 
 _GAPS = [(d, e) for d in range(1, SPAN) for e in range(1, SPAN) if d + e < SPAN]
 _BEGIN, _STOP = 26, 27
@@ -169,8 +169,8 @@ class Scorer:
             self.memo.clear()
             missing = wanted
         new = [*missing]
-        for i in range(0, len(new), 4096):
-            self.memo.update(zip(new[i : i + 4096], self.of(new[i : i + 4096]), strict=True))
+        for i in range(0, len(new), 1024):
+            self.memo.update(zip(new[i : i + 1024], self.of(new[i : i + 1024]), strict=True))
         get, bias = self.memo.__getitem__, self.machine.bias
         out = np.empty((len(texts), FEATURES))
         for k, words in enumerate(cut):
@@ -269,6 +269,7 @@ def score_rows(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
         if scorer is None:
             _SCORERS.clear()
             scorer = _SCORERS[mark] = Scorer(shared.value)
+        hold("toxicity", scorer.memo.clear)
         for rows, texts in slices(batches):
             values = scorer.texts(texts)
             own = [rows.column(rows.schema.get_field_index(k)) for k in keep]
