@@ -34,7 +34,7 @@ _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 _HINT = re.compile(rb"[0-9@]")
-_TOKEN = re.compile(r"[^\s\"'(),;:=<>]*[0-9][^\s\"'(),;:=<>]*")
+_TOKEN = re.compile(r"[^\s\"'(),;:=<>]+")
 _DIGIT = re.compile("[0-9]")
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("before", pa.string()), ("around", pa.string())])
 _ROWS = "doc_id long, row long, spans array<struct<kind:string,start:long,end:long,value:string,before:string,around:string>>"
@@ -79,11 +79,16 @@ def _context(text: str, start: int, end: int) -> tuple[str, str]:
 def mentions(text: str) -> list[dict]:
     spans = base_spans(text)
     taken = sorted((a, b) for _, a, b in spans)
-    free = []
+    free, next_, reach = [], 0, 0
     for m in _TOKEN.finditer(text):
-        a, b = m.span()
-        b = a + len(m[0].rstrip(".!?#*$%&|"))
-        if len(_DIGIT.findall(text[a:b])) >= DIGITS and not any(x < b and a < y for x, y in taken):
+        word = m[0].rstrip(".!?#*$%&|")
+        if len(_DIGIT.findall(word)) < DIGITS:
+            continue
+        a, b = m.start(), m.start() + len(word)
+        while next_ < len(taken) and taken[next_][0] < b:  # reach: how far the spans that start before b go
+            reach = max(reach, taken[next_][1])
+            next_ += 1
+        if reach <= a:
             free.append(("id", a, b))
     return [{"kind": k, "start": a, "end": b, "value": text[a:b].lower(), "before": two, "around": one} for k, a, b in spans + free for two, one in (_context(text, a, b),)]
 
