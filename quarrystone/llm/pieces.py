@@ -14,6 +14,7 @@ Null texts are empty and get no pieces; null keys count as 0; repeated rows get
 from __future__ import annotations
 
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ class Lattices:
     def __init__(self, path: str, sharpness: float):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.byte = [0] * 256
+        self.byte = np.zeros(256, np.int64)
         self.bytes: list[bytes] = []
         self.weight: dict[str, tuple[int, float]] = {}
         total = sum((1 / (r + 2)) ** sharpness for r in range(size))
@@ -60,25 +61,31 @@ class Lattices:
         self.tables = self._tables()
         self.reset()
 
-    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Per length: hashes of the pieces of that length in order, their ids and weights."""
-        by_length: dict[int, list[tuple[int, int, float]]] = {}
+    def _tables(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per length: hashes of the beginnings of pieces in order; id (-1: no piece) and weight; whether a longer piece begins so."""
+        levels: list[dict[int, list]] = [{} for _ in range(max(map(len, self.weight)))]
         for piece, (i, w) in self.weight.items():
-            h = 0
-            for c in piece:
+            h, last = 0, len(piece) - 1
+            for k, c in enumerate(piece):
                 h = (h * _BASE + ord(c) + 1) % (1 << 64)
-            by_length.setdefault(len(piece), []).append((h, i, w))
+                entry = levels[k].setdefault(h, [-1, 0.0, False])
+                if k < last:
+                    entry[2] = True
+                else:
+                    entry[:2] = i, w
         out = []
-        for k in range(1, max(by_length) + 1):
-            rows = sorted(by_length.get(k, []))
-            out.append((np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows])))
+        for level in levels:
+            known = sorted(level)
+            rows = [level[h] for h in known]
+            out.append((np.array(known, np.uint64), np.array([r[0] for r in rows], np.int32), np.array([r[1] for r in rows]), np.array([r[2] for r in rows], bool)))
         return out
 
     def reset(self) -> None:
         self.units: dict[str, int] = {}
         self.first, self.last = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.nodes = 0
-        self.keys, self.back, self.piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.head = np.zeros(0, np.int32)
+        self.until, self.back, self.piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def add(self, units: list[str]) -> None:
         """Lattices of new units, all at once. A unit of n characters has n + 1 nodes; an edge is a piece between two."""
@@ -88,28 +95,32 @@ class Lattices:
         starts = np.cumsum(sizes) - sizes
         left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # characters from here to the end of the unit
         local = np.arange(len(codes)) - np.repeat(starts, sizes)
-        hashes = np.zeros(len(codes), np.uint64)
         parts = []
-        for k, (known, ids, weights) in enumerate(self.tables, 1):
-            at = np.flatnonzero(left >= k)
-            if not len(at):
-                break
-            hashes[at] = hashes[at] * np.uint64(_BASE) + codes[at + k - 1] + np.uint64(1)
-            found = np.minimum(np.searchsorted(known, hashes[at]), max(0, len(known) - 1))
-            hit = known[found] == hashes[at] if len(known) else np.zeros(len(at), bool)
-            parts.append((at[hit], np.full(int(hit.sum()), k), ids[found[hit]], weights[found[hit]]))
+        at = np.arange(len(codes))  # where a piece of this length may begin
+        hashes = np.zeros(len(codes), np.uint64)
+        for k, (known, ids, weights, more) in enumerate(self.tables, 1):
+            hashes = hashes * np.uint64(_BASE) + codes[at + k - 1] + np.uint64(1)
+            found = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            begins = known[found] == hashes
+            hit = begins & (ids[found] >= 0)
+            own = found[hit]
+            parts.append((at[hit], np.full(len(own), k), ids[own], weights[own]))
             if k == 1:
                 alone = at[~hit]
                 parts.append((alone, np.ones(len(alone), np.int64), -codes[alone].astype(np.int32) - 1, np.full(len(alone), _RARE * _SCALE)))
-        at, length, piece, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((at, at + length))  # by end, then start; nodes are characters plus one per unit before
+            on = begins & more[found] & (left[at] > k)
+            at, hashes = at[on], hashes[on]
+            if not len(at):
+                break
+        at, length, piece, weight = (np.concatenate(x) for x in zip(*parts[::-1], strict=True))
+        order = np.argsort(at + length, kind="stable")  # by end, then start, as long pieces come first; nodes are characters plus one per unit before
         at, length, piece, weight = at[order], length[order], piece[order], weight[order]
         start = at + owner[at]
         end = start + length
         step = local[at] + length
         forward = np.zeros(len(codes) + len(units))
         forward[starts + np.arange(len(units))] = 1.0
-        by_step = np.argsort(step, kind="stable")
+        by_step = np.argsort(step.astype(np.uint8), kind="stable")  # a unit has at most UNIT steps
         bounds = np.searchsorted(step[by_step], np.arange(1, int(sizes.max(initial=0)) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             e = by_step[a:b]
@@ -126,7 +137,10 @@ class Lattices:
         self.units.update(zip(units, range(len(self.first), len(self.first) + len(units)), strict=True))
         first = starts + np.arange(len(units)) + self.nodes
         self.first, self.last = np.concatenate([self.first, first]), np.concatenate([self.last, first + sizes])
-        self.keys = np.concatenate([self.keys, end + self.nodes + until])
+        heads = np.zeros(len(forward), np.int64)
+        heads[end[head]] = head + len(self.until)
+        self.head = np.concatenate([self.head, heads.astype(np.int32)])
+        self.until = np.concatenate([self.until, until])
         self.back = np.concatenate([self.back, (start + self.nodes).astype(np.int32)])
         self.piece = np.concatenate([self.piece, piece])
         self.nodes += len(codes) + len(units)
@@ -142,7 +156,7 @@ class Lattices:
         if missing:
             self.add(sorted(missing))
         counts = np.array([len(c) for c in cut], np.int64)
-        unit = np.fromiter((u for c in cut for u in map(self.units.__getitem__, c)), np.int64, int(counts.sum()))
+        unit = np.fromiter(map(self.units.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(counts.sum()))
         begin = np.cumsum(counts) - counts
         place = np.arange(len(unit)) - np.repeat(begin, counts)
         seed = mix(np.repeat(seeds, counts) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -150,7 +164,11 @@ class Lattices:
         live, steps = np.arange(len(unit)), []
         while len(live):
             u = ((mix(seed[live] + np.uint64(len(steps) + 1)) >> np.uint64(40)).astype(np.float64) + 0.5) / _GRID
-            edge = np.searchsorted(self.keys, at[live] + u, "right")
+            edge = self.head[at[live]]
+            wait = np.flatnonzero(self.until[edge] <= u)
+            while len(wait):  # a node has few edges
+                edge[wait] += 1
+                wait = wait[self.until[edge[wait]] <= u[wait]]
             steps.append((live, self.piece[edge]))
             at[live] = self.back[edge]
             live = live[at[live] != first[live]]
@@ -167,7 +185,11 @@ class Lattices:
     def spell(self, ids: np.ndarray) -> np.ndarray:
         """Byte pieces for the characters that have none of their own."""
         if len(ids) and ids.min() < 0:
-            ids = np.array([j for i in ids.tolist() for j in ([i] if i >= 0 else [self.byte[b] for b in chr(-i - 1).encode()])], np.int64)
+            rare, code = ids < 0, -ids - 1
+            sizes = np.where(rare, 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000), 1)
+            raw = "".join(map(chr, code[rare].tolist())).encode()
+            ids, rare = np.repeat(ids, sizes), np.repeat(rare, sizes)
+            ids[rare] = self.byte[np.frombuffer(raw, np.uint8)]
         return ids.astype(np.int32)
 
     def decode(self, ids: list[int]) -> bytes:
