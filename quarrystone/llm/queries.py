@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, counts, decontaminate, jaccard, pieces, pii, rules, shards, store, toxicity
 from .common import read
+from .sql import SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -63,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -3,13 +3,14 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
 from quarrystone.llm import chat, counts, decontaminate, jaccard, pieces, pii, rules, shards, store, toxicity
 from quarrystone.llm.encoding import PieceCounts, PieceIds, tokenizer
 from quarrystone.llm.graph import components
-from quarrystone.llm.queries import queries, tokenizer_path
+from quarrystone.llm.queries import oracle_sql, queries, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -272,3 +273,15 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF).collect()
     assert 0 < len(rows) <= 200 and all(r["lossless"] for r in rows)
     assert set(queries()) == {n for n in queries() if re.match(r"op([1-9]|10)_", n)} and len(queries()) == 10
+
+
+@pytest.mark.parametrize("name", sorted(oracle_sql()))
+def test_sql_agrees(spark, name):
+    base = duckdb.connect()
+    for table in ("documents", "benchmark", "conversations"):
+        base.execute(f"CREATE VIEW {table} AS FROM '{SF}/{table}.parquet'")
+    got, expected = queries()[name](spark, SF).toPandas(), base.execute(oracle_sql()[name]).fetch_df()
+    columns = sorted(got.columns)
+    assert columns == sorted(expected.columns) and len(got)
+    rows = lambda df: sorted(map(repr, df[columns].astype(object).values.tolist()))
+    assert rows(got) == rows(expected)
