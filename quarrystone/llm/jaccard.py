@@ -13,9 +13,11 @@ A group of near copies must not become all its pairs. So first, in each shingle'
 paired with the leader of its run only; these pairs are verified and give components. Then pairs are formed
 between different components alone. Documents of one component that stand alike under a shingle (same length, same
 place of the shingle in the prefix) form one bundle; bundles are joined, and only bundles that can still link are
-unfolded. They can if the lengths allow it and the places do: shingles before the first one that two
-documents share cannot be shared, which bounds their intersection. Every pair that could link two components is
-verified by exact intersection, so none is lost.
+unfolded. They can if the lengths allow it, the places do (shingles before the first one that two documents share
+cannot be shared, which bounds their intersection) and their sketches do. A sketch has a bit per hash value, set if an
+odd number of the document's shingles have it: what two sets share cancels out, so where sketches differ, at least as
+many shingles are in one set only. A bundle holds the bits set in all of its sketches and those set in any. Every pair
+that could link two components is verified by exact intersection, so none is lost.
 
 Null and wordless texts have an empty set and link with nothing. A text of fewer words than a shingle is one
 shingle. Rows with one doc_id count as one document of the class graph; null ids have no component.
@@ -25,10 +27,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WordIds, hold, mix, shingles, slices, staged
@@ -41,6 +44,9 @@ BLOCK, LEAST = 3_000_000, 3
 #: Most matches asked for; costs of a verification and of a joined row against an emitted row; joined rows per rare shingle.
 MATCHES, VERIFY, SCAN, CHANCE = 4, 50.0, 10.0, 0.1
 _BITS = 23
+#: Longs of a sketch. With more bits, sketches of long documents tell more; results are the same.
+SKETCH = 4
+_MARKS = [f"mark{i}" for i in range(SKETCH)]
 _IDS = WordIds()
 
 
@@ -77,6 +83,12 @@ def need_of(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def sketch(own: np.ndarray) -> np.ndarray:
+    """SKETCH longs: a bit is set if an odd number of the shingles hash to it."""
+    at = (mix(own ^ np.uint64(0x5C5C5C5C)) % np.uint64(64 * SKETCH)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64)
+
+
 def prefix(own: np.ndarray, weight: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
     """The prefix in order and the length of the one-match prefix; weight: frequencies, 1 where unknown."""
     n = len(own)
@@ -94,7 +106,7 @@ def _features(width: int, percent: int, heavy):
         values, counts = heavy.value
         hold("jaccard", _IDS.clear)
         for rows, texts in slices(batches):
-            n, digest, tokens, bases = [], [], [], []
+            n, digest, tokens, bases, marks = [], [], [], [], []
             for t in texts:
                 own = shingle_set(t, width)
                 n.append(len(own))
@@ -106,9 +118,10 @@ def _features(width: int, percent: int, heavy):
                     first, base = prefix(own, np.ones(len(own)), percent) if len(own) else (own, 0)
                 tokens.append(first.view(np.int64))
                 bases.append(base)
+                marks.append(sketch(own))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bases, pa.int32()), lists], names=["doc_id", "n", "digest", "base", "prefix"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bases, pa.int32()), lists, *map(pa.array, np.stack(marks, 1))], names=["doc_id", "n", "digest", "base", "prefix", *_MARKS])
 
     return run
 
@@ -209,20 +222,27 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return staged(right.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "links")
 
 
-def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents in different components that share enough of their prefixes. rows: token, doc, n, at, matches, comp."""
+def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents in different components that share enough of their prefixes. rows: token, doc, n, at, matches, comp; sketches: doc, n, marks."""
     mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rows = staged(rows.join(mixed, "token", "left_semi"), "mixed")
-    bundles = rows.select("token", "comp", "n", "at", "matches").distinct()
+    rows = staged(rows.join(mixed, "token", "left_semi").join(sketches, ["doc", "n"]), "mixed")
+    bounds = [f(m).alias(f"{kind}_{m}") for m in _MARKS for kind, f in (("all", F.bit_and), ("any", F.bit_or))]
+    bundles = rows.groupBy("token", "comp", "n", "at", "matches").agg(*bounds)
     side = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "token"])
     least = F.least("matches_a", "matches_b")
     level = lambda k: F.greatest(F.lit(1), F.col(f"at_{k}") + F.expr(f"(({percent} * n_{k} + 99) div 100)") - F.col(f"n_{k}") + 1)
     shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + least - 1
     once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("comp_a") < F.col("comp_b")))
     can = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)) & (F.greatest(level("a"), level("b")) <= least)
+    near = lambda bits: (100 + percent) * reduce(Column.__add__, map(F.bit_count, bits)) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    only = lambda m, k, other: F.col(f"all_{m}_{k}").bitwiseAND(F.bitwise_not(F.col(f"any_{m}_{other}")))
+    can = can & near([only(m, "a", "b").bitwiseOR(only(m, "b", "a")) for m in _MARKS])
     met = side(bundles, "a").join(side(bundles, "b"), "token").where((F.col("comp_a") != F.col("comp_b")) & once & can)
     keys = lambda k: ["token", *[f"{c}_{k}" for c in ("comp", "n", "at", "matches")]]
-    every = met.join(side(rows, "a").select("doc_a", *keys("a")), keys("a")).join(side(rows, "b").select("doc_b", *keys("b")), keys("b"))
+    marks = lambda k: [f"{m}_{k}" for m in _MARKS]
+    alike = near([F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b")) for m in _MARKS])
+    left = met.select(*keys("a"), *keys("b")[1:]).join(side(rows, "a").select("doc_a", *keys("a"), *marks("a")), keys("a"))
+    every = left.join(side(rows, "b").select("doc_b", *keys("b"), *marks("b")), keys("b")).where(alike)
     counted = every.groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared"), F.first(least).alias("least"))
     return counted.where("shared >= least").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
 
@@ -235,7 +255,7 @@ def similar(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     values, counts = heavy.column(0).to_numpy().view(np.uint64), heavy.column(1).to_numpy()
     order = np.argsort(values)
     shared = spark.sparkContext.broadcast((values[order], counts[order]))  # at most HEAVY rows
-    features = staged(texts.mapInArrow(_features(width, percent, shared), "doc_id long, n long, digest binary, base int, prefix array<long>"), "features")
+    features = staged(texts.mapInArrow(_features(width, percent, shared), "doc_id long, n long, digest binary, base int, prefix array<long>, " + ", ".join(f"{m} long" for m in _MARKS)), "features")
     filled = features.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "base", "prefix")).alias("r"))
     tokens = reps.select(F.posexplode("r.prefix").alias("at", "token"), F.col("r.doc_id").alias("doc"), F.col("r.n").alias("n"), F.col("r.base").alias("base"), F.size("r.prefix").alias("size"))
@@ -245,8 +265,9 @@ def similar(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     stars = runs.where("leader <> doc").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.min("matches").alias("least"))
     first = verify(staged(stars.where("shared >= least").select("a", "b"), "stars"), texts, width, percent)
     known = components(first)
+    sketches = filled.select(F.col("doc_id").alias("doc"), "n", *_MARKS).dropDuplicates(["doc", "n"])
     placed = runs.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", "at", "matches", F.coalesce("component", "doc").alias("comp"))
-    second = verify(staged(cross_pairs(placed, percent), "pairs"), texts, width, percent)
+    second = verify(staged(cross_pairs(placed, sketches, percent), "pairs"), texts, width, percent)
     final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
     named = reps.select("digest", F.col("r.doc_id").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     members = features.select("doc_id", "n", "digest").join(named, "digest", "left")

@@ -285,3 +285,13 @@ def test_sql_agrees(spark, name):
     assert columns == sorted(expected.columns) and len(got)
     rows = lambda df: sorted(map(repr, df[columns].astype(object).values.tolist()))
     assert rows(got) == rows(expected)
+
+
+def test_sketches_bound_differences():
+    draw = np.random.default_rng(3)
+    for n, k in ((40, 3), (300, 40), (5000, 900)):
+        a = np.unique(draw.integers(0, 1 << 62, n).astype(np.uint64))
+        b = np.concatenate([a[k:], np.unique(draw.integers(0, 1 << 62, k).astype(np.uint64))])
+        apart = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
+        assert 0 < apart <= len(set(a.tolist()) ^ set(b.tolist()))
+    assert not jaccard.sketch(np.zeros(0, np.uint64)).any()
