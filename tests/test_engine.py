@@ -35,6 +35,11 @@ def test_matches_sql(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_string_key_join_is_whole(spark, duck):
+    expected = duck.execute("SELECT SUM(n * n) FROM (SELECT COUNT(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY p_name)").fetchone()[0]
+    assert Q.queries()["join_string_key_whole"](spark, SF).count() == expected
+
+
 def test_entry(spark):
     assert sorted(map(tuple, E.entry(spark).collect())) == [(255, 0), (295, 3), (304, 2), (361, 1), (529, 4)]
 
