@@ -44,7 +44,7 @@ STAGES = [
     ("sentencepiece", encoded),
 ]
 
-#: A trained machine and sampled segmentations have no SQL; tests hold run() against a brute-force version.
+#: A trained machine and sampled segmentations have no SQL; a test holds the documents that run() keeps against brute force, toxicity by its own scores.
 ORACLE_SQL = None
 
 

@@ -275,6 +275,21 @@ def test_pipeline(spark):
     assert set(queries()) == {n for n in queries() if re.match(r"op([1-9]|10)_", n)} and len(queries()) == 10
 
 
+def test_pipeline_keeps_what_brute_force_keeps(spark, docs):
+    import corpus_pipeline
+
+    table = lambda name: spark.read.parquet(f"{SF}/{name}.parquet")
+    calm = {r["doc_id"] for r in toxicity.toxicity(table("documents"), table("labels")).collect() if not r["predicted"]}
+    apart = {i for i, _, first in _joined([(i, docs[i]) for i in sorted(calm)], 5, 80) if i == first}
+    plain = lambda t: [x for x in (re.sub(r"[\W_]+", "", w.lower()) for w in WORD.findall(t)) if x]
+    grams = lambda w, k: {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    items = [(min(5, len(w)), grams(w, min(5, len(w)))) for r in table("benchmark").collect() if (w := plain(r["text"] or ""))]
+    clean = {i for i in apart if not any(len(s & grams(plain(docs[i]), k)) >= 0.8 * len(s) for k, s in items)}
+    assert clean < apart < calm < set(docs)
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(clean)
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_sql_agrees(spark, name):
     base = duckdb.connect()
