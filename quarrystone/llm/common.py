@@ -54,6 +54,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, `_row`; staged, so that every read gives a row the same one."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", budget: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows with about `budget` bytes of text each, and their texts as UTF-8 (null: empty)."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, hold, mix, shingles, slices
+from .common import WordIds, hold, mix, numbered, shingles, slices
 
 WIDTH, LEAST = 5, 0.8
 BLOCK = 16 << 20
@@ -108,6 +108,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> D
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold an item."""
-    leaks = find_leaks(docs, benchmark).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, docs["doc_id"] == F.col("_leak"), "left_anti")
+    """docs without the rows that hold an item, whatever their doc_id."""
+    rows = numbered(docs)
+    leaks = find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(leaks, "_row", "left_anti").select(*docs.columns)

@@ -31,10 +31,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, hold, mix, shingles, slices, staged
+from .common import WordIds, hold, mix, numbered, shingles, slices, staged
 from .graph import components
 
 #: Shingles whose counts order prefixes: the HEAVY most frequent. Others count as rare.
@@ -275,10 +275,11 @@ def similar(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 
 
 def drop_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each component: the smallest doc_id, and of rows that share it, one. Rows without a doc_id stay."""
-    drop = similar(docs, width, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    columns = docs.columns
-    kept = docs.join(drop, "doc_id", "left_anti")
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    once = kept.where("doc_id IS NOT NULL").withColumn("_nth", F.row_number().over(order)).where("_nth = 1")
-    return once.select(*columns).unionByName(docs.where("doc_id IS NULL").select(*columns))
+    """docs with one row of each component of linked rows: that of the smallest doc_id, null ids last. Rows that share a
+    doc_id or have none count by their own texts."""
+    rows = numbered(docs)
+    near = similar(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    named = near.join(rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash")), "_row")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row"))
+    kept = named.groupBy("component_id").agg(first.alias("_first")).select("_first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)

@@ -163,6 +163,16 @@ def test_jaccard_edges(spark, odd):
     assert jaccard.similar(odd.limit(0)).count() == 0
 
 
+def test_drops_go_by_row(spark):
+    one, two, item = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30)), "one two three four five six"
+    rows = [(1, one), (1, two), (2, one), (None, two), (3, "x " + item), (3, "clean"), (None, item + " y"), (None, "also clean")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    order = lambda out: sorted(map(tuple, out), key=repr)
+    assert order(decontaminate.drop_leaks(df, bench).collect()) == order(r for r in rows if item not in r[1])
+    assert order(jaccard.drop_similar(df).collect()) == order(r for r in rows if r not in [(2, one), (None, two)])
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(50, 60), (60, 55), (7, 7)], "a long, b long")
     got = dict(map(tuple, components(edges).collect()))
