@@ -20,7 +20,8 @@ many shingles are in one set only. A bundle holds the bits set in all of its ske
 that could link two components is verified by exact intersection, so none is lost.
 
 Null and wordless texts have an empty set and link with nothing. A text of fewer words than a shingle is one
-shingle. Rows with one doc_id count as one document of the class graph; null ids have no component.
+shingle. The class graph is of sets, each known by one row that has it; doc_ids come in when components are named. There,
+rows with one doc_id count as one document, linked by any of its texts; null ids have no component.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,11 @@ def shingle_set(text: bytes, width: int) -> np.ndarray:
     return np.unique(shingles(_IDS.of(text.lower().split()), width))
 
 
+def digest_of(own: np.ndarray) -> bytes | None:
+    """Digest of a set; none for the empty one."""
+    return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
+
+
 def _heavy(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
@@ -105,12 +112,13 @@ def _features(width: int, percent: int, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, counts = heavy.value
         hold("jaccard", _IDS.clear)
+        row = TaskContext.get().partitionId() << 36
         for rows, texts in slices(batches):
             n, digest, tokens, bases, marks = [], [], [], [], []
             for t in texts:
                 own = shingle_set(t, width)
                 n.append(len(own))
-                digest.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                digest.append(digest_of(own))
                 if len(own) and len(values):
                     at = np.minimum(np.searchsorted(values, own), len(values) - 1)
                     first, base = prefix(own, np.where(values[at] == own, counts[at], 1), percent)
@@ -121,7 +129,9 @@ def _features(width: int, percent: int, heavy):
                 marks.append(sketch(own))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in tokens])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(tokens)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bases, pa.int32()), lists, *map(pa.array, np.stack(marks, 1))], names=["doc_id", "n", "digest", "base", "prefix", *_MARKS])
+            numbers = pa.array(range(row, row + len(texts)), pa.int64())
+            row += len(texts)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), numbers, pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(bases, pa.int32()), lists, *map(pa.array, np.stack(marks, 1))], names=["doc_id", "row", "n", "digest", "base", "prefix", *_MARKS])
 
     return run
 
@@ -174,8 +184,9 @@ def _sets(width: int, wanted):
         for batch in batches:
             ids = batch.column(0).fill_null(0).to_numpy().astype(np.int64)
             near = batch.filter(pa.array(bits[(mix(ids.view(np.uint64)) >> np.uint64(64 - _BITS)).astype(np.int64)]))
-            for rows, texts in slices([near]):
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([shingle_set(t, width).tobytes() for t in texts], pa.binary())], names=["doc", "own"])
+            for _, texts in slices([near]):
+                sets = [shingle_set(t, width) for t in texts]
+                yield pa.RecordBatch.from_arrays([pa.array([f(x) for x in sets], pa.binary()) for f in (digest_of, np.ndarray.tobytes)], names=["digest", "own"])
 
     return run
 
@@ -196,9 +207,8 @@ def _linked(percent: int):
     return run
 
 
-def _bits(pairs: DataFrame) -> np.ndarray:
-    """A bit per hash of the documents in pairs: 2**_BITS at most, whatever the number of documents."""
-    both = pairs.select(F.explode(F.array("a", "b")).alias("d"))
+def _bits(ids: DataFrame) -> np.ndarray:
+    """A bit per hash of the doc_ids in ids: 2**_BITS at most, whatever the number of documents."""
 
     def spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,17 +216,18 @@ def _bits(pairs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(at)], names=["at"])
 
     out = np.zeros(1 << _BITS, bool)
-    out[np.array(both.mapInArrow(spots, "at long").distinct().toArrow().column(0).to_numpy(), np.int64)] = True
+    out[np.array(ids.mapInArrow(spots, "at long").distinct().toArrow().column(0).to_numpy(), np.int64)] = True
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose documents link, by exact intersection of their sets."""
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes that link, by exact intersection of their sets. nodes: doc, digest, doc_id; a set is read from the rows of its node's doc_id."""
     spark = pairs.sparkSession
-    wanted = spark.sparkContext.broadcast(_bits(pairs))
-    sets = docs.select("doc_id", "text").mapInArrow(_sets(width, wanted), "doc long, own binary")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    sets = staged(sets.join(ids.hint("shuffle_merge"), "doc", "left_semi").dropDuplicates(["doc"]), "sets")
+    named = staged(nodes.join(ids, "doc", "left_semi"), "nodes")
+    wanted = spark.sparkContext.broadcast(_bits(named.select("doc_id")))
+    sets = docs.select("doc_id", "text").mapInArrow(_sets(width, wanted), "digest binary, own binary")
+    sets = staged(sets.join(named.select("digest", "doc").hint("shuffle_merge"), "digest").dropDuplicates(["digest"]).select("doc", "own"), "sets")
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("own").alias("x")).hint("shuffle_merge"), "a")
     right = left.join(sets.select(F.col("doc").alias("b"), F.col("own").alias("y")).hint("shuffle_merge"), "b")
     return staged(right.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "links")
@@ -255,21 +266,28 @@ def similar(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     values, counts = heavy.column(0).to_numpy().view(np.uint64), heavy.column(1).to_numpy()
     order = np.argsort(values)
     shared = spark.sparkContext.broadcast((values[order], counts[order]))  # at most HEAVY rows
-    features = staged(texts.mapInArrow(_features(width, percent, shared), "doc_id long, n long, digest binary, base int, prefix array<long>, " + ", ".join(f"{m} long" for m in _MARKS)), "features")
+    features = staged(texts.mapInArrow(_features(width, percent, shared), "doc_id long, row long, n long, digest binary, base int, prefix array<long>, " + ", ".join(f"{m} long" for m in _MARKS)), "features")
     filled = features.where("digest IS NOT NULL AND doc_id IS NOT NULL")
-    reps = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "base", "prefix")).alias("r"))
-    tokens = reps.select(F.posexplode("r.prefix").alias("at", "token"), F.col("r.doc_id").alias("doc"), F.col("r.n").alias("n"), F.col("r.base").alias("base"), F.size("r.prefix").alias("size"))
+    reps = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "n", "base", "prefix")).alias("r"))
+    nodes = filled.select(F.col("row").alias("doc"), "digest", "doc_id")
+    tokens = reps.select(F.posexplode("r.prefix").alias("at", "token"), F.col("r.row").alias("doc"), F.col("r.n").alias("n"), F.col("r.base").alias("base"), F.size("r.prefix").alias("size"))
     rows = tokens.select("token", "doc", "n", "at", (F.col("size") - F.col("base") + 1).cast("int").alias("matches"))
     ordered = rows.repartition("token").sortWithinPartitions("token", "n", "doc")
     runs = staged(ordered.mapInArrow(_runs(percent), "token long, doc long, n long, at int, matches int, leader long"), "runs")
     stars = runs.where("leader <> doc").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.min("matches").alias("least"))
-    first = verify(staged(stars.where("shared >= least").select("a", "b"), "stars"), texts, width, percent)
+    first = verify(staged(stars.where("shared >= least").select("a", "b"), "stars"), texts, nodes, width, percent)
     known = components(first)
-    sketches = filled.select(F.col("doc_id").alias("doc"), "n", *_MARKS).dropDuplicates(["doc", "n"])
+    sketches = filled.select(F.col("row").alias("doc"), "n", *_MARKS)
     placed = runs.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", "at", "matches", F.coalesce("component", "doc").alias("comp"))
-    second = verify(staged(cross_pairs(placed, sketches, percent), "pairs"), texts, width, percent)
-    final = components(known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second))
-    named = reps.select("digest", F.col("r.doc_id").alias("rep")).join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
+    second = verify(staged(cross_pairs(placed, sketches, percent), "pairs"), texts, nodes, width, percent)
+    links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
+    for k in ("a", "b"):
+        links = links.join(nodes.select(F.col("doc").alias(k), F.col("doc_id").alias(f"{k}_id")), k)
+    owners = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    again = filled.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    own = filled.select("doc_id", "digest").join(again, "doc_id", "left_semi").join(owners, "digest")
+    final = components(links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).union(own.select("doc_id", "rep")))
+    named = owners.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     members = features.select("doc_id", "n", "digest").join(named, "digest", "left")
     return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 

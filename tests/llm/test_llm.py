@@ -163,6 +163,27 @@ def test_jaccard_edges(spark, odd):
     assert jaccard.similar(odd.limit(0)).count() == 0
 
 
+def test_jaccard_reads_every_text_of_a_doc_id(spark):
+    draw = np.random.default_rng(11)
+    texts = [(1, " ".join(f"p{i}" for i in range(80))), (1, " ".join(f"q{i}" for i in range(80))), (2, " ".join(f"p{i}" for i in range(79))), (3, " ".join(f"q{i}" for i in range(79)))]
+    for family in range(20):
+        for _ in range(4):
+            own = [f"f{family}w{i}" for i in range(60)]
+            for k in draw.integers(0, 60, draw.integers(0, 4)):
+                own[k] = f"x{draw.integers(0, 9)}"
+            texts.append((10 + int(draw.integers(0, 70)), " ".join(own)))
+    links = _joined([*enumerate(t for _, t in texts)], 4, 85)
+    groups = {first: {texts[r][0] for r, _, f in links if f == first} for _, _, first in links}
+    name = {i: i for i, _ in texts}
+    for _ in texts:
+        for ids in groups.values():
+            least = min(name[i] for i in ids)
+            name.update(dict.fromkeys(ids, least))
+    expected = sorted((texts[r][0], n, name[texts[r][0]]) for r, n, _ in links)
+    got = jaccard.similar(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == expected and name[2] == name[3] == 1 and len(set(name.values())) > 10
+
+
 def test_drops_go_by_row(spark):
     one, two, item = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30)), "one two three four five six"
     rows = [(1, one), (1, two), (2, one), (None, two), (3, "x " + item), (3, "clean"), (None, item + " y"), (None, "also clean")]
