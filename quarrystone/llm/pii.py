@@ -1,8 +1,9 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
 Base matches (email, ip, card, phone) are seeds. The words around a seed make lexical patterns: the two words
-before it, and the word on each side. Tokens with digits that no base match covers are candidates, with the same
-patterns. Pattern-instance edges form a graph that is scored in rounds: a pattern scores the mean score of its
+before it, and the word on each side. Tokens with a digit that no base match covers are candidates, with the same
+patterns; tokens of digits that single spaces join are one candidate. Tokens without digits are none: a context's score
+can't tell them from ordinary words, which would be masked. Pattern-instance edges form a graph that is scored in rounds: a pattern scores the mean score of its
 instances (seeds: 1), a candidate the noisy-or of its patterns that enough different seeds support. Patterns over
 `accept` with seeds from enough rows discover the candidates they surround; these become spans of kind `id`.
 Base spans are never changed.
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import slices, staged
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS, SUPPORT, ACCEPT, DIGITS = 3, 3, 0.8, 5
+ROUNDS, SUPPORT, ACCEPT = 3, 3, 0.8
 
 # Fixed forms.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -36,6 +37,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _HINT = re.compile(rb"[0-9@]")
 _TOKEN = re.compile(r"[^\s\"'(),;:=<>]+")
 _DIGIT = re.compile("[0-9]")
+_GROUP = re.compile("[0-9][0-9./-]*")
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string()), ("before", pa.string()), ("around", pa.string())])
 _ROWS = "doc_id long, row long, spans array<struct<kind:string,start:long,end:long,value:string,before:string,around:string>>"
 
@@ -79,17 +81,19 @@ def _context(text: str, start: int, end: int) -> tuple[str, str]:
 def mentions(text: str) -> list[dict]:
     spans = base_spans(text)
     taken = sorted((a, b) for _, a, b in spans)
-    free, next_, reach = [], 0, 0
+    free, next_, reach, joins = [], 0, 0, -1  # joins: where a group of digits that goes on would begin
     for m in _TOKEN.finditer(text):
         word = m[0].rstrip(".!?#*$%&|")
-        if len(_DIGIT.findall(word)) < DIGITS:
+        if not _DIGIT.search(word):
             continue
         a, b = m.start(), m.start() + len(word)
         while next_ < len(taken) and taken[next_][0] < b:  # reach: how far the spans that start before b go
             reach = max(reach, taken[next_][1])
             next_ += 1
         if reach <= a:
-            free.append(("id", a, b))
+            group = _GROUP.fullmatch(word)
+            free.append(("id", free.pop()[1] if group and a == joins else a, b))
+            joins = b + 1 if group and text[b : b + 1] == " " else -1
     return [{"kind": k, "start": a, "end": b, "value": text[a:b].lower(), "before": two, "around": one} for k, a, b in spans + free for two, one in (_context(text, a, b),)]
 
 

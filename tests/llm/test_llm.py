@@ -255,6 +255,15 @@ def test_contexts_find_unseen_identifiers(spark):
     assert masked[0]["n_chars"] == len(masked[0]["text"])
 
 
+def test_contexts_find_short_and_grouped_identifiers(spark):
+    texts = [(i, f"please call number: +1 202 555 01{i:02d} today") for i in range(20)] + [(90, "please call number: AB-123 today"), (91, "please call number: 77 1234 99 today"), (92, "version 7 only, 12 34")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    masked = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert masked[90] == masked[91] == "please call number: <ID> today" and masked[92] == texts[-1][1]
+    found = lambda t: [t[s["start"] : s["end"]] for s in pii.mentions(t) if s["kind"] == "id"]
+    assert found("a 1 22. 333 x4 5  6 7, 8 (9 10) +1 202 555 0123, 11") == ["1 22", "333", "x4", "5", "6 7", "8", "9 10", "11"]
+
+
 def test_counts_use_the_cache(spark, odd):
     path = tokenizer_path("word_bpe_49k.json")
     cache = counts.CountCache(spark)
