@@ -12,7 +12,7 @@ often than chance allows (a bound that grows with the number of words tried) are
 of documents without that label are negative ones, at first drawn by hash, then those that score highest. A document
 scores by its highest words and the share of words above the margin, through a logistic curve fitted on the training
 documents. Letters are taken in lower
-case; other characters inside a word are skipped; runs of single letters are read as one word; a word over LONG
+case and without accents, other scripts by code point; other characters inside a word are skipped; runs of single letters are read as one word; a word over LONG
 letters is read in overlapping parts.
 
 Training takes at most SAMPLE labelled documents (by hash of doc_id), POSITIVE and NEGATIVE words. Null, empty and
@@ -23,6 +23,7 @@ is 0.
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -43,11 +44,15 @@ MEMO = 250_000
 
 _GAPS = [(d, e) for d in range(1, SPAN) for e in range(1, SPAN) if d + e < SPAN]
 _BEGIN, _STOP = 26, 27
-_DIM = 32**3
+#: Codes of letters. Those of alphabets have one each; ideographs share them.
+_CODES = 1 << 13
+_DIM = _CODES**3
 
 
 def letters(word: bytes) -> str:
-    return "".join(c for c in word.decode("utf-8", "replace").lower() if c.isalpha())
+    """Lower case, without accents and what is no letter."""
+    text = word.decode("utf-8", "replace").lower()
+    return "".join(c for c in (text if text.isascii() else unicodedata.normalize("NFKD", text)) if c.isalpha())
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -57,9 +62,9 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         own = [f"^{w}$"] if len(w) <= LONG else [w[k : k + LONG] for k in range(0, len(w) - LONG // 2, LONG // 2)]
         parts += own
         owner += [i] * len(own)
-    out = np.full((len(parts), max(map(len, parts), default=1)), -1, np.int32)
-    flat = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int32)
-    code = np.where((flat >= 97) & (flat < 123), flat - 97, 28 + flat % 4)
+    out = np.full((len(parts), max(map(len, parts), default=1)), -1, np.int64)
+    flat = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    code = np.where((flat >= 97) & (flat < 123), flat - 97, 28 + flat % (_CODES - 28))
     code = np.where(flat == ord("^"), _BEGIN, np.where(flat == ord("$"), _STOP, code))
     lengths = np.array([len(p) for p in parts], np.int64)
     rows = np.repeat(np.arange(len(parts)), lengths)
@@ -76,7 +81,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         if n > 0:
             a, b, c = codes[:, :n], codes[:, d : d + n], codes[:, d + e : d + e + n]
             row, col = np.nonzero(c >= 0)
-            keys.append(row.astype(np.int64) * _DIM + a[row, col] * 1024 + b[row, col] * 32 + c[row, col])
+            keys.append(row.astype(np.int64) * _DIM + (a[row, col] * _CODES + b[row, col]) * _CODES + c[row, col])
             weights.append(np.full(len(row), DECAY ** (d + e + 1)))
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), owner
@@ -90,21 +95,38 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return row, key % _DIM, weight / norm[row], owner
 
 
-def _dense(words: list[str]) -> np.ndarray:
+def _keys(words: list[str]) -> np.ndarray:
+    return np.unique(subsequences(words)[1])
+
+
+def _places(sub: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which subsequences are among keys, and where there."""
+    if not len(keys):
+        return np.zeros(len(sub), bool), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, sub), len(keys) - 1)
+    held = keys[at] == sub
+    return held, at[held]
+
+
+def _dense(words: list[str], keys: np.ndarray) -> np.ndarray:
+    """Weights of the subsequences in keys."""
     row, sub, weight, owner = subsequences(words)
-    out = np.zeros((len(owner), _DIM), np.float32)
-    out[row, sub] = weight
+    held, at = _places(sub, keys)
+    out = np.zeros((len(owner), len(keys)), np.float32)
+    out[row[held], at] = weight[held]
     return out
 
 
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
     """The kernel between words of at most LONG letters."""
-    return _dense(left) @ _dense(right).T
+    keys = _keys(right)
+    return _dense(left, keys) @ _dense(right, keys).T
 
 
 @dataclass
 class Machine:
-    weights: np.ndarray = field(default_factory=lambda: np.zeros(_DIM))
+    keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     bias: float = -1.0
     curve: tuple[float, ...] = (0.0, 0.0, 0.0, -40.0)
 
@@ -113,7 +135,8 @@ class Machine:
         if not words:
             return np.zeros(0)
         row, sub, weight, owner = subsequences(words)
-        parts = np.bincount(row, weight * self.weights[sub], len(owner)) + self.bias
+        held, at = _places(sub, self.keys)
+        parts = np.bincount(row[held], weight[held] * self.weights[at], len(owner)) + self.bias
         out = np.full(len(words), -np.inf)
         np.maximum.at(out, owner, parts)
         return out
@@ -142,16 +165,17 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 0.05) ->
 def train_words(good: list[str], bad: list[str]) -> Machine:
     """The machine that tells `bad` words (toxic) from `good` ones."""
     marks = (bad + good)[:LANDMARKS] if len(bad) < LANDMARKS // 2 else bad[: LANDMARKS // 2] + good[: LANDMARKS // 2]
-    base = _dense(marks)
+    keys = _keys(marks)
+    base = _dense(marks, keys)
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     keep = values > 1e-6
     root = vectors[:, keep] / np.sqrt(values[keep])
     words = bad + good
-    near = np.vstack([_dense(words[i : i + 256]) @ base.T for i in range(0, len(words), 256)]).astype(np.float64)
+    near = np.vstack([_dense(words[i : i + 256], keys) @ base.T for i in range(0, len(words), 256)]).astype(np.float64)
     y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
     cost = np.where(y > 0, len(good) / max(1, len(bad)), 1.0)
     w = _svm(near @ root, y, cost)
-    return Machine(base.T.astype(np.float64) @ (root @ w[:-1]), float(w[-1]))
+    return Machine(keys, base.T.astype(np.float64) @ (root @ w[:-1]), float(w[-1]))
 
 
 class Scorer:
@@ -189,7 +213,11 @@ class Scorer:
     @staticmethod
     def spelt(words: list[bytes]) -> list[str]:
         """Words spelt as runs of three single letters or more."""
-        one = np.fromiter(map(len, words), np.int32, len(words)) == 1
+        sizes = np.fromiter(map(len, words), np.int32, len(words))
+        one = sizes == 1
+        for k in np.flatnonzero((sizes > 1) & (sizes < 8)).tolist():  # a letter of several bytes, or with its accent beside it
+            if not words[k].isascii():
+                one[k] = len(unicodedata.normalize("NFC", words[k].decode("utf-8", "replace"))) == 1
         edges = np.flatnonzero(np.diff(np.concatenate([[0], one.view(np.int8), [0]])))
         return [w for a, b in edges.reshape(-1, 2).tolist() if b - a > 2 and len(w := letters(b"".join(words[a:b]))) > 2]
 
@@ -270,8 +298,8 @@ _SCORERS: dict[int, Scorer] = {}
 
 def score_rows(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
     """(keep, evidence, score) of every row: what its words show, and the probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)  # a weight per subsequence: fixed size
-    mark = xxhash.xxh64_intdigest(machine.weights.tobytes() + np.float64([machine.bias, *machine.curve]).tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(machine)  # a weight per subsequence of the landmarks
+    mark = xxhash.xxh64_intdigest(machine.keys.tobytes() + machine.weights.tobytes() + np.float64([machine.bias, *machine.curve]).tobytes())
     fields = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

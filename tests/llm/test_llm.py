@@ -221,6 +221,13 @@ def test_machine_reads_spelt_words():
     assert values[0] > 0 > values[1] and values[2] > 0 and values[3] < 0
 
 
+def test_machine_reads_accents_and_other_scripts():
+    machine = toxicity.train_words(["stone", "water", "there", "listen", "привет", "спасибо", "хорошо"], ["idiot", "moron", "дурак", "болван"])
+    values = toxicity.Scorer(machine).texts([t.encode() for t in ("an ïdíot", "you i d \u00ef o\u0301 t now", "ты дурак", "ты хорошо", "ты д у р а к")])[:, 0]
+    assert (values[[0, 1, 2, 4]] > 0).all() and values[3] < 0
+    assert toxicity.kernel(["дурак"], ["привет", "дурак", "здураки"])[0, 0] < 0.05 and toxicity.kernel(["\u0434\u0443\u0440"], ["\u0438\u0447\u0444"])[0, 0] < 0.6
+
+
 def _base(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) < 256 for p in m[0].split("."))]
