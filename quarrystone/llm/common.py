@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -25,9 +26,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that the driver and all executors share; own folder only where none is set."""
+    """A new path in the folder that the driver and all executors share. Where none is set, a folder of its own, which only a
+    local master's executors can see; others must be given `spark.checkpoint.dir`."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _OWN:
             _OWN.append(tempfile.mkdtemp(prefix="quarrystone-"))
             spark.sparkContext.setCheckpointDir(_OWN[0])
@@ -54,6 +58,24 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Staged tables that are deleted together, when what was made from them has been written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def staged(self, df: DataFrame, label: str) -> DataFrame:
+        path = shared_path(self.spark, label)
+        self.paths.append(path)
+        write_table(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        for path in self.paths:
+            delete_path(self.spark, path)
+        self.paths.clear()
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """docs with a number for each row, `_row`; staged, so that every read gives a row the same one."""
     return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import delete_path, shared_path, write_table
+from .common import Scratch, delete_path, shared_path, write_table
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node of edges (a, b): the smallest node that it reaches. Loops and repeats are harmless."""
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+    """(node, component) of every node of edges (a, b): the smallest node that it reaches. Loops, repeats and edges with a
+    null are harmless; the result's table goes with `scratch`, if given."""
     spark = edges.sparkSession
     schema = "a long, b long"
     old: list[str] = []
@@ -35,5 +36,7 @@ def components(edges: DataFrame) -> DataFrame:
         now, mark = keep(small.where("a > b").distinct())
         if mark == before:
             break
+    if scratch is not None:
+        scratch.paths += old
     # every node now points at its smallest
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

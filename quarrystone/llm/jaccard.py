@@ -9,11 +9,13 @@ linked documents share l of them at least. Each document picks l by its estimate
 the candidates it would verify, so one in crowded shingles lengthens its prefix and asks for more shared shingles.
 A pair needs the smaller of both numbers, counted over the shorter prefixes of both.
 
-A group of near copies must not become all its pairs. So first, in each shingle's rows by length, a document is
-paired with the leader of its run only; these pairs are verified and give components. Then pairs are formed
+A group of near copies must not become all its pairs. So it is joined in rounds first: in each shingle's rows by length, a
+document is paired with the first of its band of lengths and with the few rows before it, as far as they are in
+different components; these pairs are verified, components merged, shingles of one component dropped, and the next
+round orders rows of like length anew. A round makes a fixed number of pairs a row. Then pairs are formed
 between different components alone. Documents of one component that stand alike under a shingle (same length, same
-place of the shingle in the prefix) form one bundle; bundles are joined, and only bundles that can still link are
-unfolded. They can if the lengths allow it, the places do (shingles before the first one that two documents share
+place of the shingle in the prefix) form one bundle (of BUNDLE documents at most); bundles are joined, and only bundles that can still link are
+unfolded into pairs, counted where they arise. They can if the lengths allow it, the places do (shingles before the first one that two documents share
 cannot be shared, which bounds their intersection) and their sketches do. A sketch has a bit per hash value, set if an
 odd number of the document's shingles have it: what two sets share cancels out, so where sketches differ, at least as
 many shingles are in one set only. A bundle holds the bits set in all of its sketches and those set in any. Every pair
@@ -33,10 +35,10 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordIds, hold, mix, numbered, shingles, slices, staged
+from .common import Scratch, WordIds, hold, mix, numbered, shingles, slices, staged
 from .graph import components
 
 #: Shingles whose counts order prefixes: the HEAVY most frequent. Others count as rare.
@@ -46,6 +48,10 @@ BLOCK, LEAST = 3_000_000, 3
 #: Most matches asked for; costs of a verification and of a joined row against an emitted row; joined rows per rare shingle.
 MATCHES, VERIFY, SCAN, CHANCE = 4, 50.0, 10.0, 0.1
 _BITS = 23
+#: Rounds of pairs with neighbours, and neighbours before a row.
+ROUNDS, BACK = 3, 3
+#: Documents in a bundle at most, and pairs that a task holds at once.
+BUNDLE, PAIRS = 64, 200_000
 #: Longs of a sketch. With more bits, sketches of long documents tell more; results are the same.
 SKETCH = 4
 _MARKS = [f"mark{i}" for i in range(SKETCH)]
@@ -136,43 +142,67 @@ def _features(width: int, percent: int, heavy):
     return run
 
 
-def _runs(percent: int):
-    """Rows sorted by (token, n, doc): drops tokens with one row, adds the leader of each row."""
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by token, without tokens that have one row; a partition's first and last token stay, as they may go on elsewhere."""
+    before = None  # the last row so far, while it isn't known whether its token goes on
+    first = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if before is not None:
+            batch = pa.Table.from_batches([before, batch]).combine_chunks().to_batches()[0]
+        tokens = batch.column(0).to_numpy()
+        first = tokens[0] if first is None else first
+        same = tokens[1:] == tokens[:-1]
+        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | (tokens == first)
+        if before is not None:
+            keep[0] |= known
+        known, before = keep[-1], batch.slice(batch.num_rows - 1)
+        keep[-1] = False
+        yield batch.filter(pa.array(keep))
+    if before is not None:
+        yield before
+
+
+def _far(n_a: np.ndarray, n_b: np.ndarray, marks_a: np.ndarray, marks_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether lengths and sketches show that two sets don't link."""
+    small, large = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    apart = np.bitwise_count((marks_a ^ marks_b).view(np.uint64)).sum(1, dtype=np.int64)
+    return (100 * small < percent * large) | ((100 + percent) * apart > (100 - percent) * (n_a + n_b))
+
+
+def _neighbours(percent: int):
+    """Pairs (a, b) among rows sorted by (token, n, order), of each row with the first of its token and band of lengths and with the
+    BACK rows before it: under how many tokens they met here, and the shared tokens they need."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = leader = size = None
-        held = None  # the last row, until the next one shows whether its token goes on
-
-        def emit(out: list[tuple]) -> pa.RecordBatch:
-            columns = [*zip(*out, strict=True)] or [()] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["token", "doc", "n", "at", "matches", "leader"])
-
+        held = None  # the leader, then the last BACK rows
         for batch in batches:
-            tokens = batch.column(0).to_numpy()
-            same = np.zeros(len(tokens) + 1, bool)
-            same[1:-1] = tokens[1:] == tokens[:-1]
-            same[0] = held is not None and len(tokens) > 0 and tokens[0] == held[0]
-            same[-1] = True  # the last row may go on
-            picked = np.flatnonzero(same[:-1] | same[1:])
-            rows = batch.take(pa.array(picked))
-            out: list[tuple] = []
-            for row in zip(*(c.to_pylist() for c in rows.columns), strict=True):
-                if held is not None:
-                    again = row[0] == held[0]
-                    if again or held[6]:
-                        out.append(held[:6])
-                if row[0] != token:
-                    token, leader, size = row[0], row[1], row[2]
-                    known = False
-                else:
-                    known = True
-                    if 100 * size < percent * row[2]:
-                        leader, size = row[1], row[2]
-                held = (*row, leader, known)
-            yield emit(out)
-        if held is not None and held[6]:
-            yield emit([held[:6]])
+            if not batch.num_rows:
+                continue
+            token, doc, n, matches, comp = (batch.column(i).to_numpy() for i in range(5))
+            marks = np.stack([batch.column(i).to_numpy() for i in range(5, 5 + SKETCH)], 1)
+            rows = [token, doc, n, matches, comp, marks]
+            fresh = 0 if held is None else len(held[0])
+            token, doc, n, matches, comp, marks = rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)] if held else rows
+            band = np.floor(np.log(n) / np.log(100 / percent)).astype(np.int64)
+            opens = np.concatenate([[True], (token[1:] != token[:-1]) | (band[1:] != band[:-1])])
+            opens[1:fresh] = False  # rows seen before, behind the leader
+            if fresh and len(token) > fresh:
+                opens[fresh] = token[fresh] != token[fresh - 1] or band[fresh] != band[fresh - 1]
+            leader = np.maximum.accumulate(np.where(opens, np.arange(len(token)), 0))
+            at = np.arange(fresh, len(token))
+            pairs = [(leader[at], at)] + [(at[at >= k + (fresh > 0)] - k, at[at >= k + (fresh > 0)]) for k in range(1, BACK + 1)]
+            left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            good = (token[left] == token[right]) & (comp[left] != comp[right])
+            left, right = left[good], right[good]
+            good = ~_far(n[left], n[right], marks[left], marks[right], percent)
+            left, right = left[good], right[good]
+            met = np.unique(np.stack([np.minimum(doc[left], doc[right]), np.maximum(doc[left], doc[right]), np.minimum(matches[left], matches[right]), token[left]], 1), axis=0)
+            both, shared = np.unique(met[:, :3], axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, both.T), pa.array(shared)], names=["a", "b", "least", "shared"])
+            last = np.concatenate([[leader[-1]], np.arange(max(0, len(token) - BACK), len(token))])
+            held = [x[last] for x in rows]
 
     return run
 
@@ -220,76 +250,131 @@ def _bits(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) of nodes that link, by exact intersection of their sets. nodes: doc, digest, doc_id; a set is read from the rows of its node's doc_id."""
-    spark = pairs.sparkSession
+    spark, own = pairs.sparkSession, Scratch(pairs.sparkSession)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    named = staged(nodes.join(ids, "doc", "left_semi"), "nodes")
+    named = own.staged(nodes.join(ids, "doc", "left_semi"), "nodes")
     wanted = spark.sparkContext.broadcast(_bits(named.select("doc_id")))
     sets = docs.select("doc_id", "text").mapInArrow(_sets(width, wanted), "digest binary, own binary")
-    sets = staged(sets.join(named.select("digest", "doc").hint("shuffle_merge"), "digest").dropDuplicates(["digest"]).select("doc", "own"), "sets")
+    sets = own.staged(sets.join(named.select("digest", "doc").hint("shuffle_merge"), "digest").dropDuplicates(["digest"]).select("doc", "own"), "sets")
     left = pairs.join(sets.select(F.col("doc").alias("a"), F.col("own").alias("x")).hint("shuffle_merge"), "a")
     right = left.join(sets.select(F.col("doc").alias("b"), F.col("own").alias("y")).hint("shuffle_merge"), "b")
-    return staged(right.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "links")
+    links = scratch.staged(right.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long"), "links")
+    own.clear()
+    wanted.destroy()
+    return links
+
+
+def between(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """rows (token, doc, ...) with their components, without tokens whose rows are all in one."""
+    placed = rows.drop("comp").join(known.select(F.col("node").alias("doc"), "component"), "doc", "left")
+    placed = placed.withColumn("comp", F.coalesce("component", "doc")).drop("component")
+    mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
+    return placed.join(mixed, "token", "left_semi")
+
+
+def _unfold(percent: int):
+    """Pairs (a, b) of members of two bundles whose sketches allow a link: under how many tokens, and the shared tokens they need."""
 
+    def told(found: list[np.ndarray]) -> pa.RecordBatch:
+        met = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 4), np.int64)
+        both, shared = np.unique(met[:, :3], axis=0, return_counts=True)
+        return pa.RecordBatch.from_arrays([*map(pa.array, both.T), pa.array(shared)], names=["a", "b", "least", "shared"])
 
-def cross_pairs(rows: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of documents in different components that share enough of their prefixes. rows: token, doc, n, at, matches, comp; sketches: doc, n, marks."""
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-    rows = staged(rows.join(mixed, "token", "left_semi").join(sketches, ["doc", "n"]), "mixed")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            token, least, n_a, n_b = (batch.column(i).to_numpy().astype(np.int64) for i in range(4))
+            lists = [batch.column(4), batch.column(5)]
+            sizes = [x.value_lengths().to_numpy().astype(np.int64) for x in lists]
+            begin = [np.cumsum(k) - k for k in sizes]
+            parts = [[c.to_numpy() for c in x.flatten().flatten()] for x in lists]
+            docs, marks = [p[0] for p in parts], [np.stack(p[1:], 1) for p in parts]
+            every = sizes[0] * sizes[1]
+            ends, row, found, held = np.cumsum(every), 0, [], 0
+            while row < len(token):
+                till = max(row + 1, int(np.searchsorted(ends, (ends[row - 1] if row else 0) + PAIRS, "right")))
+                own = np.repeat(np.arange(row, till), every[row:till])
+                place = np.arange(len(own)) - np.repeat(ends[row:till] - every[row:till] - (ends[row] - every[row]), every[row:till])
+                left, right = begin[0][own] + place // sizes[1][own], begin[1][own] + place % sizes[1][own]
+                good = ~_far(n_a[own], n_b[own], marks[0][left], marks[1][right], percent)
+                a, b = docs[0][left[good]], docs[1][right[good]]
+                found.append(np.stack([np.minimum(a, b), np.maximum(a, b), least[own[good]], token[own[good]]], 1))
+                held += len(a)
+                if held > PAIRS:
+                    yield told(found)
+                    found, held = [], 0
+                row = till
+            yield told(found)
+
+    return run
+
+
+def cross_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of documents in different components that share enough of their prefixes. rows: token, doc, n, at, matches, comp, marks."""
+    key = ["token", "comp", "n", "at", "matches"]
+    part = F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("doc")) - 1) / BUNDLE)  # a bundle of many documents is several
     bounds = [f(m).alias(f"{kind}_{m}") for m in _MARKS for kind, f in (("all", F.bit_and), ("any", F.bit_or))]
-    bundles = rows.groupBy("token", "comp", "n", "at", "matches").agg(*bounds)
-    side = lambda df, k: df.select("token", *[F.col(c).alias(f"{c}_{k}") for c in df.columns if c != "token"])
+    bundles = rows.withColumn("part", part).groupBy(*key, "part").agg(*bounds, F.collect_list(F.struct("doc", *_MARKS)).alias("members")).drop("part")
+    side = lambda k: bundles.select("token", *[F.col(c).alias(f"{c}_{k}") for c in bundles.columns if c != "token"])
     least = F.least("matches_a", "matches_b")
     level = lambda k: F.greatest(F.lit(1), F.col(f"at_{k}") + F.expr(f"(({percent} * n_{k} + 99) div 100)") - F.col(f"n_{k}") + 1)
     shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) + least - 1
     once = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("comp_a") < F.col("comp_b")))
     can = (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)) & (F.greatest(level("a"), level("b")) <= least)
-    near = lambda bits: (100 + percent) * reduce(Column.__add__, map(F.bit_count, bits)) <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
     only = lambda m, k, other: F.col(f"all_{m}_{k}").bitwiseAND(F.bitwise_not(F.col(f"any_{m}_{other}")))
-    can = can & near([only(m, "a", "b").bitwiseOR(only(m, "b", "a")) for m in _MARKS])
-    met = side(bundles, "a").join(side(bundles, "b"), "token").where((F.col("comp_a") != F.col("comp_b")) & once & can)
-    keys = lambda k: ["token", *[f"{c}_{k}" for c in ("comp", "n", "at", "matches")]]
-    marks = lambda k: [f"{m}_{k}" for m in _MARKS]
-    alike = near([F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b")) for m in _MARKS])
-    left = met.select(*keys("a"), *keys("b")[1:]).join(side(rows, "a").select("doc_a", *keys("a"), *marks("a")), keys("a"))
-    every = left.join(side(rows, "b").select("doc_b", *keys("b"), *marks("b")), keys("b")).where(alike)
-    counted = every.groupBy("doc_a", "doc_b").agg(F.count("*").alias("shared"), F.first(least).alias("least"))
-    return counted.where("shared >= least").select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b"))
+    apart = reduce(Column.__add__, [F.bit_count(only(m, "a", "b").bitwiseOR(only(m, "b", "a"))) for m in _MARKS])
+    can = can & ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+    met = side("a").join(side("b"), "token").where((F.col("comp_a") != F.col("comp_b")) & once & can)
+    near = met.repartitionByRange("comp_a", "comp_b", "n_a", "n_b", "token").sortWithinPartitions("comp_a", "comp_b", "n_a", "n_b")  # so that a pair's tokens come together
+    counted = near.select("token", least, "n_a", "n_b", "members_a", "members_b").mapInArrow(_unfold(percent), "a long, b long, least long, shared long")
+    return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
 
 
 def similar(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     heavy = texts.mapInArrow(_heavy(width), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HEAVY).toArrow()
     values, counts = heavy.column(0).to_numpy().view(np.uint64), heavy.column(1).to_numpy()
     order = np.argsort(values)
     shared = spark.sparkContext.broadcast((values[order], counts[order]))  # at most HEAVY rows
-    features = staged(texts.mapInArrow(_features(width, percent, shared), "doc_id long, row long, n long, digest binary, base int, prefix array<long>, " + ", ".join(f"{m} long" for m in _MARKS)), "features")
+    features = scratch.staged(texts.mapInArrow(_features(width, percent, shared), "doc_id long, row long, n long, digest binary, base int, prefix array<long>, " + ", ".join(f"{m} long" for m in _MARKS)), "features")
     filled = features.where("digest IS NOT NULL AND doc_id IS NOT NULL")
     reps = filled.groupBy("digest").agg(F.min(F.struct("doc_id", "row", "n", "base", "prefix")).alias("r"))
     nodes = filled.select(F.col("row").alias("doc"), "digest", "doc_id")
     tokens = reps.select(F.posexplode("r.prefix").alias("at", "token"), F.col("r.row").alias("doc"), F.col("r.n").alias("n"), F.col("r.base").alias("base"), F.size("r.prefix").alias("size"))
     rows = tokens.select("token", "doc", "n", "at", (F.col("size") - F.col("base") + 1).cast("int").alias("matches"))
-    ordered = rows.repartition("token").sortWithinPartitions("token", "n", "doc")
-    runs = staged(ordered.mapInArrow(_runs(percent), "token long, doc long, n long, at int, matches int, leader long"), "runs")
-    stars = runs.where("leader <> doc").groupBy(F.col("leader").alias("a"), F.col("doc").alias("b")).agg(F.count("*").alias("shared"), F.min("matches").alias("least"))
-    first = verify(staged(stars.where("shared >= least").select("a", "b"), "stars"), texts, nodes, width, percent)
-    known = components(first)
-    sketches = filled.select(F.col("row").alias("doc"), "n", *_MARKS)
-    placed = runs.join(known.select(F.col("node").alias("doc"), "component"), "doc", "left").select("token", "doc", "n", "at", "matches", F.coalesce("component", "doc").alias("comp"))
-    second = verify(staged(cross_pairs(placed, sketches, percent), "pairs"), texts, nodes, width, percent)
-    links = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(second)
+    names = "token long, doc long, n long, at int, matches int"
+    runs = rows.repartitionByRange("token", "n", "doc").sortWithinPartitions("token").mapInArrow(_repeated, names)
+    sketches = filled.select(F.col("row").alias("doc"), *_MARKS)
+    live = scratch.staged(runs.join(sketches, "doc"), "live")
+    links: list[DataFrame] = []
+    known = spark.createDataFrame([], "node long, component long")
+    for k in range(ROUNDS):
+        live = scratch.staged(between(live, known), "live")
+        order = F.xxhash64("doc", F.lit(k))
+        ranged = live.withColumn("order", order).repartitionByRange("token", "n", "order").sortWithinPartitions("token", "n", "order")
+        near = ranged.select("token", "doc", "n", F.col("matches").cast("long"), "comp", *_MARKS).mapInArrow(_neighbours(percent), "a long, b long, least long, shared long")
+        near = scratch.staged(near.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b"), "near")
+        links.append(verify(near, texts, nodes, width, percent, scratch))
+        known = components(reduce(DataFrame.union, links), scratch)
+        if 10 * links[-1].count() < near.count():
+            break
+    live = scratch.staged(between(live, known), "live")
+    links.append(verify(scratch.staged(cross_pairs(live, percent), "pairs"), texts, nodes, width, percent, scratch))
+    every = known.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links[-1])
     for k in ("a", "b"):
-        links = links.join(nodes.select(F.col("doc").alias(k), F.col("doc_id").alias(f"{k}_id")), k)
+        every = every.join(nodes.select(F.col("doc").alias(k), F.col("doc_id").alias(f"{k}_id")), k)
     owners = filled.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     again = filled.groupBy("doc_id").count().where("count > 1").select("doc_id")
     own = filled.select("doc_id", "digest").join(again, "doc_id", "left_semi").join(owners, "digest")
-    final = components(links.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).union(own.select("doc_id", "rep")))
+    final = components(every.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).union(own.select("doc_id", "rep")), scratch)
     named = owners.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     members = features.select("doc_id", "n", "digest").join(named, "digest", "left")
-    return members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = staged(members.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")), "similar")
+    scratch.clear()
+    return out
 
 
 def drop_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
