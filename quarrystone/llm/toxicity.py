@@ -7,17 +7,20 @@ space, in which a linear machine with squared hinge loss is trained. As the kern
 subsequence weights, landmarks and machine fold into one weight per subsequence, and scoring a word costs its
 own subsequences only.
 
-Labels stand on documents. A labelled sentence's evidence is in its words: words whose documents are toxic far more
-often than chance allows (a bound that grows with the number of words tried) are the positive examples; words
-of documents without that label are negative ones, at first drawn by hash, then those that score highest. A document
-scores by its highest words and the share of words above the margin, through a logistic curve fitted on the training
-documents. Letters are taken in lower
-case and without accents, other scripts by code point; other characters inside a word are skipped; runs of single letters are read as one word; a word over LONG
-letters is read in overlapping parts.
-
-Training takes at most SAMPLE labelled documents (by hash of doc_id), POSITIVE and NEGATIVE words. Null, empty and
-wordless texts get the score of no evidence. Repeated rows score alike; without labels of both kinds every score
-is 0.
+Labels stand on documents, not on sentences. A labelled sentence's evidence is in its words: all words whose documents are
+toxic far more often than chance allows (a bound that grows with the number of words tried) are positive examples, words
+of documents without that label are negative ones. The first CHUNK of those are drawn by hash; then those inside the margin
+join, CHUNK at a time, for ROUNDS rounds or until none is left. (Machines trained on whole sentences were measured and are
+worse, see the README.) A document scores by its highest words and the share of words above the margin, through a logistic
+curve whose slopes are never negative, so more evidence never lowers a score. The curve is fitted on evidence from machines that did
+not see a document: each half of the sample is judged by a machine trained on the other one.
+
+Letters are taken in lower case and without accents, other scripts by code point; other characters inside a word are
+skipped; runs of single letters are read as one word; a word over LONG letters is read in overlapping parts, BLOCK letters at a
+time, so that memory is bounded for words of any length.
+
+Training takes at most SAMPLE labelled documents (by hash of doc_id). Null, empty and wordless texts get the score of no
+evidence. Repeated rows score alike; without labels of both kinds every score is 0. Columns of any name pass `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ import math
 import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, hold, slices, staged
+from .common import Scratch, fold, hold, slices
 
 DECAY, SPAN, LONG = 0.7, 6, 24
-SAMPLE, POSITIVE, NEGATIVE, LANDMARKS, ROUNDS = 8000, 200, 3000, 96, 3
+SAMPLE, CHUNK, LANDMARKS, ROUNDS = 8000, 3000, 96, 3
+#: Letters that are compared at once.
+BLOCK = 1 << 16
 HELD_OUT, THRESHOLD = 2, 0.3
-FEATURES = 3
+FEATURES, TOP = 3, 2.0
 #: Words whose scores a worker remembers.
 MEMO = 250_000
 
@@ -55,13 +61,22 @@ def letters(word: bytes) -> str:
     return "".join(c for c in (text if text.isascii() else unicodedata.normalize("NFKD", text)) if c.isalpha())
 
 
+def parts_of(word: str) -> list[str]:
+    """A word as it is compared: whole between marks, or in overlapping parts."""
+    return [f"^{word}$"] if len(word) <= LONG else [word[k : k + LONG] for k in range(0, len(word) - LONG // 2, LONG // 2)]
+
+
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Letters of each part as numbers, in rows; which word each row belongs to."""
     parts, owner = [], []
     for i, w in enumerate(words):
-        own = [f"^{w}$"] if len(w) <= LONG else [w[k : k + LONG] for k in range(0, len(w) - LONG // 2, LONG // 2)]
+        own = parts_of(w)
         parts += own
         owner += [i] * len(own)
+    return _numbers(parts), np.array(owner, np.int64)
+
+
+def _numbers(parts: list[str]) -> np.ndarray:
     out = np.full((len(parts), max(map(len, parts), default=1)), -1, np.int64)
     flat = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
     code = np.where((flat >= 97) & (flat < 123), flat - 97, 28 + flat % (_CODES - 28))
@@ -69,12 +84,16 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(p) for p in parts], np.int64)
     rows = np.repeat(np.arange(len(parts)), lengths)
     out[rows, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = code
-    return out, np.array(owner, np.int64)
+    return out
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Normalised weights in compressed rows: (row, subsequence, weight), and the word of each row."""
     codes, owner = _codes(words)
+    return *_weights(codes), owner
+
+
+def _weights(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys, weights = [], []
     for d, e in _GAPS:
         n = codes.shape[1] - d - e
@@ -84,15 +103,15 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
             keys.append(row.astype(np.int64) * _DIM + (a[row, col] * _CODES + b[row, col]) * _CODES + c[row, col])
             weights.append(np.full(len(row), DECAY ** (d + e + 1)))
     if not keys:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), owner
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     key, weight = np.concatenate(keys), np.concatenate(weights)
     order = np.argsort(key, kind="stable")
     key, weight = key[order], weight[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     key, weight = key[first], np.add.reduceat(weight, first) if len(first) else weight[:0]
     row = key // _DIM
-    norm = np.sqrt(np.bincount(row, weight**2, len(owner)))
-    return row, key % _DIM, weight / norm[row], owner
+    norm = np.sqrt(np.bincount(row, weight**2, len(codes)))
+    return row, key % _DIM, weight / norm[row]
 
 
 def _keys(words: list[str]) -> np.ndarray:
@@ -132,13 +151,27 @@ class Machine:
 
     def words(self, words: list[str]) -> np.ndarray:
         """Decision values of words; words that have no subsequence get the bias."""
-        if not words:
-            return np.zeros(0)
-        row, sub, weight, owner = subsequences(words)
-        held, at = _places(sub, self.keys)
-        parts = np.bincount(row[held], weight[held] * self.weights[at], len(owner)) + self.bias
         out = np.full(len(words), -np.inf)
-        np.maximum.at(out, owner, parts)
+        parts: list[str] = []
+        owner: list[int] = []
+        held = 0
+
+        def done() -> None:
+            row, sub, weight = _weights(_numbers(parts))
+            known, at = _places(sub, self.keys)
+            np.maximum.at(out, owner, np.bincount(row[known], weight[known] * self.weights[at], len(parts)) + self.bias)
+
+        for i, word in enumerate(words):
+            step = LONG // 2 if len(word) > LONG else len(word) + 1
+            for k in range(0, max(1, len(word) - LONG // 2 if len(word) > LONG else 1), step):
+                parts.append(word[k : k + LONG] if len(word) > LONG else f"^{word}$")
+                owner.append(i)
+                held += len(parts[-1])
+                if held >= BLOCK:
+                    done()
+                    parts, owner, held = [], [], 0
+        if parts:
+            done()
         return out
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
@@ -179,13 +212,13 @@ def train_words(good: list[str], bad: list[str]) -> Machine:
 
 
 class Scorer:
-    """Highest decision value per text, remembering words."""
+    """Evidence per text, remembering words."""
 
     def __init__(self, machine: Machine):
         self.machine, self.memo = machine, {}
 
     def texts(self, texts: list[bytes]) -> np.ndarray:
-        """Per text: value of its highest distinct word, of the second, and the log share of words over 0."""
+        """Per text: value of its highest distinct word, of the second (both between -TOP and TOP), and the log share of words over 0."""
         cut = [t.split() for t in texts]
         wanted = set().union(*cut)
         missing = wanted - self.memo.keys()
@@ -193,20 +226,22 @@ class Scorer:
             self.memo.clear()
             missing = wanted
         new = [*missing]
-        for i in range(0, len(new), 1024):
-            self.memo.update(zip(new[i : i + 1024], self.of(new[i : i + 1024]), strict=True))
-        get, bias = self.memo.__getitem__, self.machine.bias
-        out = np.empty((len(texts), FEATURES))
-        for k, words in enumerate(cut):
-            values = np.fromiter(map(get, words), np.float64, len(words))
-            spelt = self.spelt(words)
-            if spelt:
-                values = np.concatenate([values, self.machine.words(spelt)])
-            first = values.max(initial=bias)
-            second = values[values < first].max(initial=bias)
-            out[k] = first, second, math.log((np.count_nonzero(values > 0) + 0.2) / (len(values) + 20))
+        self.memo.update(zip(new, self.of(new), strict=True))
+        get = self.memo.__getitem__
+        out = np.array([self.evidence(np.fromiter(map(get, words), np.float64, len(words)), self.spelt(words)) for words in cut]).reshape(len(texts), FEATURES)
+        for word in [w for w in new if len(w) > 256]:  # not remembered
+            del self.memo[word]
         return out
 
+    def evidence(self, values: np.ndarray, spelt: list[str]) -> tuple[float, float, float]:
+        if spelt:
+            values = np.concatenate([values, self.machine.words(spelt)])
+        bias = self.machine.bias
+        first = values.max(initial=bias)
+        second = values[values < first].max(initial=bias)
+        over = (1 / (1 + np.exp(-np.clip(8 * values, -40, 40)))).sum()  # counts words over 0, softly
+        return float(np.clip(first, -TOP, TOP)), float(np.clip(second, -TOP, TOP)), math.log((over + 0.2) / (len(values) + 20))
+
     def of(self, words: list[bytes]) -> list[float]:
         return self.machine.words([letters(w) for w in words]).tolist()
 
@@ -224,42 +259,62 @@ class Scorer:
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in slices(batches):
-        words = [sorted({x for x in map(letters, set(t.split())) if 2 < len(x) <= LONG}) for t in texts]
-        yield pa.RecordBatch.from_arrays([rows.column("toxic"), pa.array(words, pa.list_(pa.string()))], names=["toxic", "words"])
+        words = [sorted({y for x in map(letters, set(t.split())) if len(x) > 2 for y in ([x] if len(x) <= LONG else parts_of(x))}) for t in texts]
+        yield pa.RecordBatch.from_arrays([*(rows.column(i) for i in range(2)), pa.array(words, pa.list_(pa.string()))], names=["toxic", "half", "words"])
 
 
-def _pick(label_words: DataFrame, n_docs: int, n_toxic: int) -> tuple[list[str], list[str], DataFrame]:
-    counts = staged(label_words.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")), "words")
-    rate = n_toxic / n_docs
+def _told(counts: DataFrame, halves: tuple[int, ...], n: dict[tuple[int, int], int]) -> tuple[list[str], DataFrame]:
+    """Words that tell toxic documents of these halves, and the words of the others. n: documents by (toxic, half)."""
+    bad, good = (reduce(lambda a, b: a + b, [F.col(f"{kind}{h}") for h in halves]) for kind in ("bad", "good"))
+    own = counts.select("word", bad.alias("bad"), good.alias("good")).where("bad + good > 0")
+    n_bad, n_all = sum(n.get((1, h), 0) for h in halves), sum(n.get((y, h), 0) for y in (0, 1) for h in halves)
+    rate = n_bad / max(1, n_all)
     share = F.col("bad") / (F.col("bad") + F.col("good"))
     gain = F.col("bad") * F.log(share / rate) + F.when(F.col("good") > 0, F.col("good") * F.log((1 - share) / (1 - rate))).otherwise(0.0)
-    told = counts.where((F.col("bad") > 0) & (share > rate)).withColumn("gain", gain)
-    top = [(r["word"], r["gain"], r["good"] / (r["bad"] + r["good"])) for r in told.orderBy(F.desc("gain"), "word").limit(POSITIVE).collect()]
-    bound = math.log(max(2, counts.count())) + 2
-    bad = [w for w, g, s in top if g > bound and s < 0.3] or [w for w, _, _ in top[:5]]
-    calm = counts.where(F.col("good") > 0)
-    good = [r["word"] for r in calm.orderBy(F.xxhash64("word"), "word").limit(NEGATIVE).collect()]
-    return [w for w in good if w not in set(bad)], bad, calm
+    told = own.where((F.col("bad") > 0) & (share > rate)).withColumn("gain", gain) if 0 < rate < 1 else own.limit(0).withColumn("gain", F.lit(0.0))
+    bound = math.log(max(2, own.count())) + 2
+    bad = [r["word"] for r in told.where((F.col("gain") > bound) & (share > 0.7)).orderBy(F.desc("gain"), "word").collect()]  # from at most SAMPLE documents
+    return bad or [r["word"] for r in told.orderBy(F.desc("gain"), "word").limit(5).collect()], own.where("good > 0").select("word")
+
+
+def _machine(counts: DataFrame, halves: tuple[int, ...], n: dict[tuple[int, int], int], rounds: int) -> Machine:
+    bad, calm = _told(counts, halves, n)
+    known = set(bad)
+    good = [r["word"] for r in calm.orderBy(F.xxhash64("word"), "word").limit(CHUNK).collect() if r["word"] not in known]
+    if not bad or not good:
+        return Machine()
+    machine = train_words(good, bad)
+    for _ in range(rounds - 1):
+        known |= set(good)
+        worst = _top(calm, machine).where("value > -1").orderBy(F.desc("value"), "word").limit(CHUNK + len(known)).collect()
+        new = [r["word"] for r in worst if r["word"] not in known][:CHUNK]
+        if not new:
+            break
+        good = new + good
+        machine = train_words(good, bad)
+    return machine
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     """The machine, from labelled documents outside the held-out fold."""
+    scratch = Scratch(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))  # at most SAMPLE rows
-    rows = staged(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic"), "labelled")
-    n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if len(n) < 2:
-        return Machine()
-    words = rows.mapInArrow(_words, "toxic int, words array<string>")
-    good, bad, calm = _pick(words, sum(n.values()), n[1])
-    machine = train_words(good, bad)
-    for _ in range(ROUNDS - 1):
-        worst = _top(calm, machine).orderBy(F.desc("value"), "word").limit(NEGATIVE // 4).collect()
-        known_bad = set(bad)
-        good = [*dict.fromkeys([r["word"] for r in worst if r["word"] not in known_bad] + good)]
-        machine = train_words(good, bad)
-    seen = score_rows(rows, machine, "toxic").collect()  # at most as many rows as the sample has documents
-    machine.curve = _logistic(np.array([r["evidence"] for r in seen]), np.array([r["toxic"] for r in seen], float))
+    half = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("half")), F.lit(2)).cast("int").alias("half")  # copies of a text are in one half
+    rows = scratch.staged(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", half, "text"), "labelled")
+    n = {(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
+    machine = Machine()
+    if len({y for y, _ in n}) == 2:
+        words = rows.mapInArrow(_words, "toxic int, half int, words array<string>").select("toxic", "half", F.explode("words").alias("word"))
+        sums = [F.sum(F.when((F.col("half") == h) & (F.col("toxic") == y), 1).otherwise(0)).alias(f"{kind}{h}") for h in (0, 1) for y, kind in enumerate(("good", "bad"))]
+        counts = scratch.staged(words.groupBy("word").agg(*sums), "words")
+        machine = _machine(counts, (0, 1), n, ROUNDS)
+        seen = []
+        for h in (0, 1):
+            other = _machine(counts, (1 - h,), n, ROUNDS)
+            seen += score_rows(rows.where(F.col("half") == h), other, "toxic").collect()  # at most as many rows as the sample has documents
+        machine.curve = _logistic(np.array([r["evidence"] for r in seen]), np.array([r["toxic"] for r in seen], float))
+    scratch.clear()
     return machine
 
 
@@ -273,9 +328,23 @@ def _top(words: DataFrame, machine: Machine) -> DataFrame:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Slopes and base of a logistic curve, with a slight pull of the slopes to 0: Newton steps, halved until the loss falls."""
+    """Slopes and base of a logistic curve, with a slight pull of the slopes to 0. Slopes that would be negative are 0: the most
+    negative one is left out until none is."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
-    a = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+    on = np.ones(x.shape[1], bool)
+    while True:
+        w = _newton(np.hstack([((x - mean) / scale)[:, on], np.ones((len(x), 1))]), y)
+        if not on.any() or w[:-1].min() >= 0:
+            break
+        on[np.flatnonzero(on)[w[:-1].argmin()]] = False
+    slopes = np.zeros(x.shape[1])
+    slopes[on] = w[:-1]
+    slopes /= scale
+    return (*slopes.tolist(), float(w[-1] - slopes @ mean))
+
+
+def _newton(a: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Newton steps, halved until the loss falls."""
     pull = np.full(a.shape[1], 0.1)
     pull[-1] = 1e-6
     loss = lambda w: np.logaddexp(0, a @ w).sum() - y @ (a @ w) + (pull * w * w).sum() / 2
@@ -289,8 +358,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
         w = w - size * step
         if np.abs(size * step).max() < 1e-9:
             break
-    slopes = w[:-1] / scale
-    return (*slopes.tolist(), float(w[-1] - slopes @ mean))
+    return w
 
 
 _SCORERS: dict[int, Scorer] = {}
@@ -313,7 +381,7 @@ def score_rows(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
             own = [rows.column(rows.schema.get_field_index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays([*own, pa.array(values.tolist(), pa.list_(pa.float64())), pa.array(scorer.machine.score(values))], names=[*keep, "evidence", "score"])
 
-    return docs.select(*keep, "text").mapInArrow(run, f"{fields}, evidence array<double>, score double")
+    return docs.select(*keep, *([] if "text" in keep else ["text"])).mapInArrow(run, f"{fields}, evidence array<double>, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -323,7 +391,7 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs that the machine doesn't call toxic."""
-    machine = train(docs, labels)
     columns = docs.columns
-    scored = score_rows(docs, machine, *columns)
-    return scored.where(F.col("score") < THRESHOLD).select(*columns)
+    held = docs.toDF(*[f"c{i}" for i in range(len(columns))]).withColumnRenamed(f"c{columns.index('text')}", "text")  # no name can clash
+    scored = score_rows(held, train(docs, labels), *[c for c in held.columns if c != "text"], "text")
+    return scored.where(F.col("score") < THRESHOLD).select(*held.columns).toDF(*columns)
