@@ -3,13 +3,16 @@
 Base matches (email, ip, card, phone) are seeds. The words around a seed make lexical patterns: the two words
 before it, and the word on each side. Tokens with a digit that no base match covers are candidates, with the same
 patterns; tokens of digits that single spaces join are one candidate. Tokens without digits are none: a context's score
-can't tell them from ordinary words, which would be masked. Pattern-instance edges form a graph that is scored in rounds: a pattern scores the mean score of its
-instances (seeds: 1), a candidate the noisy-or of its patterns that enough different seeds support. Patterns over
-`accept` with seeds from enough rows discover the candidates they surround; these become spans of kind `id`.
-Base spans are never changed.
+can't tell them from ordinary words, which would be masked.
 
-Null texts hold nothing, repeated rows are told apart by their place, empty tables give empty results; other columns
-than doc_id and text are ignored by `find_pii`, and kept by `redact`.
+Pattern-instance edges form a graph that is scored in rounds, to a fixed point. A pattern scores the share of its distinct
+instances that are known, each by its own score (seeds: 1). Patterns with SUPPORT known instances and a score of `accept` are
+good. A candidate of good patterns becomes known, with the noisy-or of their scores, which it then keeps; so it counts as a
+seed in its other patterns, and a chain of discoveries weakens from step to step. Candidates that good patterns surround
+become spans of kind `id`. Base spans are never changed.
+
+Null texts hold nothing, repeated rows are told apart by their place, equal values are one instance, empty tables give empty
+results; other columns than doc_id and text are ignored by `find_pii`, and kept by `redact`, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, staged
+from .common import Scratch, numbered, slices, staged
 
 KINDS = ("email", "ip", "card", "phone", "id")
-ROUNDS, SUPPORT, ACCEPT = 3, 3, 0.8
+SUPPORT, ACCEPT = 3, 0.5
 
 # Fixed forms.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -73,7 +76,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def _context(text: str, start: int, end: int) -> tuple[str, str]:
     """The two words before, and the word on each side; digits count alike."""
     shape = lambda w: _DIGIT.sub("0", w.lower())
-    before, after = text[max(0, start - 80) : start].split(), text[end : end + 40].split()
+    reach, before, after = 64, [], []
+    while len(before) < 3 and reach < 2 * start + 128:  # a third word, so that the second is whole
+        before, reach = text[max(0, start - reach) : start].split(), 2 * reach
+    reach = 64
+    while len(after) < 2 and reach < 2 * (len(text) - end) + 128:
+        after, reach = text[end : end + reach].split(), 2 * reach
     two = " ".join(map(shape, before[-2:])) if len(before) > 1 else ""
     return two, f"{shape(before[-1])} _ {shape(after[0])}" if before and after else ""
 
@@ -106,32 +114,42 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids, pa.array(found, pa.list_(_SPAN))], names=["doc_id", "row", "spans"])
 
 
-def score_patterns(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(pattern, score, seeds) from mentions: the graph's patterns after the last round."""
-    m = rows.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    pattern = F.explode(F.array(F.concat(F.lit("B "), "before"), F.concat(F.lit("A "), "around"))).alias("pattern")
-    named = m.select("row", "value", (F.col("kind") != "id").alias("seed"), pattern).where(F.length("pattern") > 2)
-    edges = staged(named.groupBy("pattern", "value").agg(F.max("seed").alias("seed")), "edges")
-    held = named.where("seed").groupBy("pattern").agg(F.countDistinct("value").alias("seeds"))
-    held = staged(held.where(F.col("seeds") >= SUPPORT), "support")
-    near = staged(edges.join(held, "pattern"), "near")  # other patterns can't be accepted
-    score = near.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("score"))
-    for _ in range(rounds):
-        patterns = near.join(score, "value").groupBy("pattern", "seeds").agg(F.avg("score").alias("p"))
-        weighed = near.join(patterns.select("pattern", "p"), "pattern")
+def _patterns(edge: str = "") -> F.Column:
+    return F.array(F.concat(F.lit("B "), f"{edge}before"), F.concat(F.lit("A "), f"{edge}around"))
+
+
+def score_patterns(rows: DataFrame, accept: float = ACCEPT, scratch: Scratch | None = None) -> DataFrame:
+    """(pattern, score, support) of the good patterns of mentions, at the fixed point."""
+    scratch = scratch or Scratch(rows.sparkSession)
+    m = rows.select(F.explode("spans").alias("s")).select("s.*")
+    named = m.select("value", (F.col("kind") != "id").alias("seed"), F.explode(_patterns()).alias("pattern")).where(F.length("pattern") > 2)
+    every = named.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    size = every.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)  # others can't be good
+    edges = scratch.staged(every.join(size, "pattern"), "edges")
+    known = scratch.staged(edges.groupBy("value").agg(F.max("seed").alias("seed")).where("seed").select("value", F.lit(1.0).alias("score")), "known")
+    while True:
+        seen = edges.join(known, "value").groupBy("pattern", "n").agg(F.sum("score").alias("mass"), F.count("*").alias("support"))
+        scored = seen.select("pattern", (F.col("mass") / F.col("n")).alias("score"), "support")
+        good = scratch.staged(scored.where((F.col("support") >= SUPPORT) & (F.col("score") >= accept)), "good")
+        fresh = edges.join(good.select("pattern", F.col("score").alias("p")), "pattern").join(known, "value", "left_anti")
         miss = F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(0.999)))))
-        score = staged(weighed.groupBy("value").agg(F.when(F.max("seed"), F.lit(1.0)).otherwise(1 - miss).alias("score")), "scores")
-    return near.join(score, "value").groupBy("pattern", "seeds").agg(F.avg("score").alias("score"))
+        new = scratch.staged(fresh.groupBy("value").agg((1 - miss).alias("score")), "known")
+        if not new.head(1):
+            return good
+        known = known.union(new)
 
 
 def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """(doc_id, row, spans) per row of docs; spans (kind, start, end) by start, then kind."""
+    scratch = Scratch(docs.sparkSession)
     scanned = staged(docs.select("doc_id", "text").mapInArrow(_scan, _ROWS), "mentions")
     hits = scanned.where(F.size("spans") > 0)
-    good = score_patterns(hits).where(F.col("score") >= accept).select("pattern")
+    good = score_patterns(hits, accept, scratch).select("pattern")
     free = hits.select("row", F.explode(F.filter("spans", lambda s: s["kind"] == "id")).alias("s"))
-    tried = free.select("row", "s.start", "s.end", F.explode(F.array(F.concat(F.lit("B "), "s.before"), F.concat(F.lit("A "), "s.around"))).alias("pattern"))
+    tried = free.select("row", "s.start", "s.end", F.explode(_patterns("s.")).alias("pattern"))
     found = tried.join(good, "pattern", "left_semi").groupBy("row").agg(F.collect_set(F.struct(F.lit("id").alias("kind"), "start", "end")).alias("found"))
+    found = staged(found, "found")
+    scratch.clear()
     base = F.transform(F.filter("spans", lambda s: s["kind"] != "id"), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     place = lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))
     every = F.sort_array(F.transform(F.concat(base, F.coalesce("found", F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>"))), place))
@@ -149,9 +167,11 @@ def pii_report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with every span replaced by its kind in angle brackets; n_chars follows where it is a column."""
-    rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()).withColumn("_own", F.col("doc_id")).drop("doc_id").withColumnRenamed("_row", "doc_id"), "rows")
-    spans = find_pii(rows).select("doc_id", F.col("spans").alias("_spans")).where(F.size("_spans") > 0)
-    text = F.coalesce("text", F.lit(""))
+    columns = docs.columns
+    rows = numbered(docs.toDF(*[f"c{i}" for i in range(len(columns))]))  # no name can clash
+    body, length = (f"c{columns.index(c)}" if c in columns else None for c in ("text", "n_chars"))
+    spans = find_pii(rows.select(F.col("_row").alias("doc_id"), F.col(body).alias("text"))).select(F.col("doc_id").alias("_row"), F.col("spans").alias("_spans")).where(F.size("_spans") > 0)
+    text = F.coalesce(body, F.lit(""))
 
     def put(d, s):
         begin = F.greatest(s["start"], d["at"])
@@ -161,8 +181,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate("_spans", start, put, lambda d: F.concat(F.array_join(d["out"], ""), F.substring(text, (d["at"] + 1).cast("int"), 2**31 - 1)))
-    out = rows.join(spans, "doc_id", "left").withColumn("text", F.when(F.col("_spans").isNotNull(), done).otherwise(F.col("text")))
-    out = out.withColumn("doc_id", F.col("_own")).drop("_own", "_spans")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    out = rows.join(spans, "_row", "left").withColumn(body, F.when(F.col("_spans").isNotNull(), done).otherwise(F.col(body)))
+    if length:
+        out = out.withColumn(length, F.length(body).cast(docs.schema["n_chars"].dataType))
+    return out.select(*[f"c{i}" for i in range(len(columns))]).toDF(*columns)

@@ -357,3 +357,44 @@ def test_sketches_bound_differences():
         apart = sum(int(x).bit_count() for x in (jaccard.sketch(a) ^ jaccard.sketch(b)).view(np.uint64))
         assert 0 < apart <= len(set(a.tolist()) ^ set(b.tolist()))
     assert not jaccard.sketch(np.zeros(0, np.uint64)).any()
+
+
+def test_discoveries_are_seeds(spark):
+    values = [f"QX-{i}7{i}" for i in range(10)]
+    texts = [f"please call number: +1 202 555 01{i:02d} today" for i in range(20)] + [f"please call number: {v} today" for v in values]
+    texts += [f"the member known as {v} has joined" for v in values] + ["the member known as ZZ-1 has joined", "the version is 12 now", "the version is 13 now", "the version is 14 now"]
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["n_id"] for r in pii.pii_report(df).collect()}
+    assert all(found[i] == (20 <= i <= 40) for i in found)
+
+
+def _known_by_brute_force(texts):
+    edges = {}
+    for t in texts:
+        for m in pii.mentions(t):
+            for p in ("B " + m["before"], "A " + m["around"]):
+                if len(p) > 2:
+                    seeds = edges.setdefault(p, {})
+                    seeds[m["value"]] = seeds.get(m["value"], False) or m["kind"] != "id"
+    known = {v: 1.0 for own in edges.values() if len(own) >= pii.SUPPORT for v, seed in own.items() if seed}
+    while True:
+        share = {p: (sum(known.get(v, 0) for v in own) / len(own), sum(v in known for v in own)) for p, own in edges.items() if len(own) >= pii.SUPPORT}
+        good = {p: s for p, (s, n) in share.items() if n >= pii.SUPPORT and s >= pii.ACCEPT}
+        new = {}
+        for p, s in good.items():
+            for v in edges[p].keys() - known.keys():
+                new[v] = 1 - (1 - new.get(v, 0)) * (1 - min(s, 0.999))
+        if not new:
+            return good
+        known |= new
+
+
+def test_pattern_scores_agree_with_brute_force(spark, docs):
+    draw = np.random.default_rng(2)
+    frames = ["call {} now", "dial number {} please", "the room {} is", "my card {} was", "ref {} sent"]
+    seeds = [f"+1 202 555 {i:04d}" for i in range(30)] + [f"a{i}@b.co" for i in range(10)]
+    own = [f"K{i}" for i in range(25)]
+    texts = [frames[draw.integers(5)].format((seeds + own)[draw.integers(65)]) for _ in range(300)] + [*docs.values()]
+    rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").select("doc_id", "text").mapInArrow(pii._scan, pii._ROWS)
+    got = {r["pattern"]: r["score"] for r in pii.score_patterns(rows).collect()}
+    assert got == pytest.approx(_known_by_brute_force(texts)) and len(got) > 3
