@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordIds, hold, mix, numbered, shingles, slices
+from .common import WordIds, hold, mix, shingles, slices
 
 WIDTH, LEAST = 5, 0.8
 BLOCK = 16 << 20
@@ -98,17 +98,32 @@ def _search(items: Items):
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
     """(doc_id, item_id, n_item, n_shared, containment) of every item found in a document."""
+    search = lambda items: docs.select("doc_id", "text").mapInArrow(_search(items), "doc_id long, item_id long, n_item long, n_shared long")
+    return reduce(DataFrame.unionByName, map(search, _blocks(benchmark, least))).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def _blocks(benchmark: DataFrame, least: float) -> Iterator[Items]:
+    """The items in blocks of about BLOCK / 2 bytes, by hash of id and text, so that one repeated id is no block of its own."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) + 16 * F.count("*")).first()[0]
     blocks = max(1, math.ceil(2 * size / BLOCK))
-    found = []
     for b in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).select("item_id", "text").orderBy("item_id").collect()
-        found.append(docs.select("doc_id", "text").mapInArrow(_search(Items([(r[0], r[1]) for r in rows], least)), "doc_id long, item_id long, n_item long, n_shared long"))
-    return reduce(DataFrame.unionByName, found).withColumn("containment", F.col("n_shared") / F.col("n_item"))
+        rows = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).select("item_id", "text").orderBy("item_id").collect()
+        yield Items([(r[0], r[1]) for r in rows], least)
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST) -> DataFrame:
+    """docs without the rows that hold an item, whatever their doc_id: rows are tested as they pass, and none is moved."""
+    columns = docs.columns
+    body = columns.index("text")
+    for items in _blocks(benchmark, least):
+        docs = docs.mapInArrow(_without(items, columns[body]), docs.schema)
+    return docs
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item, whatever their doc_id."""
-    rows = numbered(docs)
-    leaks = find_leaks(rows.select(F.col("_row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("_row")).distinct()
-    return rows.join(leaks, "_row", "left_anti").select(*docs.columns)
+def _without(items: Items, column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("decontaminate", _IDS.clear)
+        for rows, texts in slices(batches, column):
+            yield rows.filter(pa.array([next(items.search(_IDS.of(t.split())), None) is None for t in texts], pa.bool_()))
+
+    return run
