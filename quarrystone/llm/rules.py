@@ -2,8 +2,9 @@
 
 `ledger` evaluates every rule once per document and stores one bit per failed rule beside the measured
 values. Policies are masks over the bits, with a version each: applying one, or asking what leaving a
-rule out would change, reads the stored bits and never the texts. Null and empty texts measure 0
-everywhere and fail `few_words`. Repeated rows are judged alike, further columns are kept.
+rule out would change, reads the stored bits and never the texts. `quality` writes the ledger, then reads it for the policy and
+for the ablation, which it writes beside it. Null and empty texts measure 0 everywhere and fail `few_words`. Repeated rows
+are judged alike, further columns are kept; one that has the name of a measurement is replaced by it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import shared_path, write_table
+
 _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
@@ -62,21 +65,21 @@ def _count_repeats(windows: Column) -> Column:
 def measure(docs: DataFrame) -> DataFrame:
     """Adds the measurements the rules use."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    flat = docs.withColumn("_flat", F.translate(text, _SPACES, " " * len(_SPACES)))
-    split = flat.withColumn("_words", F.filter(F.split("_flat", " "), lambda w: w != "")).withColumn("_lines", F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != ""))
+    flat = docs.withColumn("_rules_flat", F.translate(text, _SPACES, " " * len(_SPACES)))
+    split = flat.withColumn("_rules_words", F.filter(F.split("_rules_flat", " "), lambda w: w != "")).withColumn("_rules_lines", F.filter(F.split(text, "\n"), lambda x: F.translate(x, _SPACES, "") != ""))
     counted = split.withColumns({
-        "n_words": F.size("_words").cast("long"),
-        "n_lines": F.size("_lines").cast("long"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-        "word_chars": F.length(F.translate("_flat", " ", "")).cast("long"),
+        "n_words": F.size("_rules_words").cast("long"),
+        "n_lines": F.size("_rules_lines").cast("long"),
+        "n_dup_lines": (F.size("_rules_lines") - F.size(F.array_distinct("_rules_lines"))).cast("long"),
+        "word_chars": F.length(F.translate("_rules_flat", " ", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, _SYMBOLS, ""))).cast("long"),
         "n_exclaim": (F.length(text) - F.length(F.translate(text, "!", ""))).cast("long"),
         "n_upper": (F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))).cast("long"),
     })
-    word = lambda i: F.get(F.col("_words"), i)
-    starts = F.when(F.size("_words") >= 3, F.sequence(F.lit(0), F.size("_words") - 3)).otherwise(F.array().cast("array<int>"))
-    windows = counted.withColumn("_windows", F.transform(starts, lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))))
-    return windows.withColumn("n_repeat_words", _count_repeats(F.col("_windows"))).drop("_flat", "_words", "_lines", "_windows")
+    word = lambda i: F.get(F.col("_rules_words"), i)
+    starts = F.when(F.size("_rules_words") >= 3, F.sequence(F.lit(0), F.size("_rules_words") - 3)).otherwise(F.array().cast("array<int>"))
+    windows = counted.withColumn("_rules_windows", F.transform(starts, lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2))))
+    return windows.withColumn("n_repeat_words", _count_repeats(F.col("_rules_windows"))).drop("_rules_flat", "_rules_words", "_rules_lines", "_rules_windows")
 
 
 def ledger(docs: DataFrame) -> DataFrame:
@@ -107,6 +110,16 @@ def ablation(rows: DataFrame, version: str = "v1") -> DataFrame:
     return one.groupBy(F.col("r.rule").alias("rule"), F.col("r.bit").alias("bit")).agg(hit(fails).alias("failing"), hit(fails & rest).alias("failing_alone"), hit(rest).alias("kept_without"), F.bit_or("own").alias("all_bits"))
 
 
-def quality(docs: DataFrame) -> DataFrame:
+def write_ledger(docs: DataFrame, path: str | None = None, version: str = "v1") -> str:
+    """Writes the ledger of docs to `path`/ledger, and from that the ablation of a policy to `path`/ablation-`version`."""
+    path = path or shared_path(docs.sparkSession, "ledger")
+    write_table(ledger(docs), f"{path}/ledger")
+    write_table(ablation(docs.sparkSession.read.parquet(f"{path}/ledger"), version), f"{path}/ablation-{version}")
+    return path
+
+
+def quality(docs: DataFrame, version: str = "v1") -> DataFrame:
+    """Measurements and verdicts per document, from the written ledger."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return apply_policy(ledger(docs)).select("doc_id", *names, "base_failed", "kept", "failed")
+    spark = docs.sparkSession
+    return apply_policy(spark.read.parquet(f"{write_ledger(docs, version=version)}/ledger"), version).select("doc_id", *names, "base_failed", "kept", "failed")
