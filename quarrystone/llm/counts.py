@@ -3,7 +3,9 @@
 The cache is a Parquet table (version, digest, n_tokens): `version` is a digest of the tokenizer file, `digest`
 one of the text's normal form. Counting joins the texts' digests to the cache, encodes each distinct miss once,
 appends the new counts and joins again. The normal form only maps null to the empty text, as any other change
-could change a count. Repeated rows each get their row, an empty table gives none, further columns are ignored.
+could change a count. A cache lives at the path given, or at that of the setting spark.quarrystone.counts, and then serves
+later runs too; without either it is a new one in the shared folder, so that a run's cost doesn't hang on earlier ones. Two
+writers at once may store a count twice, which readers see through. Repeated rows each get their row, an empty table gives none, further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,12 +44,12 @@ class CountCache:
     """A table of counts at a path that all executors share."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
-        self.spark, self.path = spark, path or shared_path(spark, "counts")
+        self.spark, self.path = spark, path or spark.conf.get("spark.quarrystone.counts", None) or shared_path(spark, "counts")
         spark.createDataFrame([], _CACHE).write.mode("append").parquet(self.path)  # so that it can be read
 
     def stored(self, version: str) -> DataFrame:
         rows = self.spark.read.schema(_CACHE).parquet(self.path).where(F.col("version") == version)
-        return rows.select("digest", "n_tokens").dropDuplicates(["digest"])
+        return rows.select("digest", "n_tokens")
 
     def count(self, docs: DataFrame, tokenizer_path: str) -> DataFrame:
         """(doc_id, n_bytes, n_tokens) of all rows of docs."""
@@ -58,7 +60,8 @@ class CountCache:
         distinct = keyed.select("digest", "text").dropDuplicates(["digest"])
         misses = distinct.join(self.stored(version).hint("shuffle_merge"), "digest", "left_anti")
         misses.mapInArrow(_count(tokenizer_path, version), _CACHE).write.mode("append").parquet(self.path)
-        return keyed.select("doc_id", "n_bytes", "digest").join(self.stored(version), "digest").select("doc_id", "n_bytes", "n_tokens")
+        once = self.stored(version).dropDuplicates(["digest"])
+        return keyed.select("doc_id", "n_bytes", "digest").join(once, "digest").select("doc_id", "n_bytes", "n_tokens")
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, cache: CountCache | None = None) -> DataFrame:
