@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarrystone.llm import chat, counts, decontaminate, jaccard, pieces, pii, rules, shards, store, toxicity
 from quarrystone.llm.encoding import PieceCounts, PieceIds, tokenizer
@@ -398,3 +399,55 @@ def test_pattern_scores_agree_with_brute_force(spark, docs):
     rows = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").select("doc_id", "text").mapInArrow(pii._scan, pii._ROWS)
     got = {r["pattern"]: r["score"] for r in pii.score_patterns(rows).collect()}
     assert got == pytest.approx(_known_by_brute_force(texts)) and len(got) > 3
+
+
+def test_splits_beyond_numpy():
+    sizes = [10**9, 5 * 10**8, 15 * 10**8, 0, 7]
+    m = shards.communication_matrix(sizes, 8, 3)
+    assert m.sum(1).tolist() == sizes and m.sum(0).max() - m.sum(0).min() <= 1 and (m >= 0).all()
+    assert 0 < abs(m[0] - 10**9 / 8).max() < 10**5
+
+
+def test_split_has_the_hypergeometric_law(monkeypatch):
+    left, n, tries = np.array([6, 3, 3]), 5, 6000
+    monkeypatch.setattr(shards, "LARGE", 0)
+    drawn = Counter(tuple(shards.split(left, n, np.random.default_rng(i)).tolist()) for i in range(tries))
+    from math import comb
+
+    law = {(a, b, n - a - b): comb(6, a) * comb(3, b) * comb(3, n - a - b) / comb(12, n) for a in range(6) for b in range(4) if 0 <= n - a - b <= 3}
+    assert set(drawn) <= set(law)
+    chi = sum((drawn[k] - tries * p) ** 2 / (tries * p) for k, p in law.items())
+    assert chi < 3 * len(law)
+
+
+def test_shuffle_is_uniform(spark):
+    counts = np.zeros((12, 4))
+    for seed in range(40):
+        rows = shards.read_shards(df := spark.range(12).select(F.col("id").alias("doc_id")).coalesce(3), shards.write_shards(df, 4, seed)).collect()
+        for r in rows:
+            counts[r["doc_id"], r["shard"]] += 1
+    assert ((counts - 10) ** 2 / 10).sum() < 80  # 33 degrees of freedom
+
+
+def test_shard_columns_match_the_texts(spark, odd):
+    texts = Counter((r["doc_id"], len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in odd.collect())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in shards.shard_report(odd).collect()) == texts
+
+
+def test_count_query_agrees_with_the_library(spark, docs):
+    from quarrystone.llm.encoding import tokenizer
+
+    own = tokenizer(tokenizer_path("word_bpe_49k.json"))
+    for r in queries()["op8_token_counts"](spark, SF).collect():
+        n = len(own.encode(docs[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(docs[r["doc_id"]].encode()), n, n > 2048)
+
+
+def test_ledger_is_written_and_read(spark, odd):
+    path = rules.write_ledger(odd)
+    book, cut = (spark.read.parquet(f"{path}/{t}") for t in ("ledger", "ablation-v1"))
+    assert "text" not in book.columns and book.count() == len(ODD) + 1
+    for r in cut.collect():
+        own = [x["failed"] & rules.POLICIES["v1"] for x in book.collect()]
+        expected = (sum(bool(f & r["bit"]) for f in own), sum(f == r["bit"] for f in own), sum(not f & ~r["bit"] for f in own))
+        assert (r["failing"], r["failing_alone"], r["kept_without"]) == expected
