@@ -1,9 +1,11 @@
 """SentencePiece encoding by sampling segmentations, and lossless decoding.
 
-A text, with a space before it, is cut before each run of spaces into units; a unit longer than UNIT characters
-is cut every UNIT characters. Over the pieces inside a unit stands a lattice; forward filtering gives each
+A text, with a space before it, is cut before each run of spaces into units; no piece of the model goes on over such a place
+but those of spaces alone. Over the pieces inside a unit stands a lattice; forward filtering gives each
 position the total weight of the ways to it, and backward sampling draws one way from the end, a uniform number
-per step from (seed, row key, unit, step). So a row's segmentation depends on its key and text alone, never on
+per step from (seed, row key, unit, step). A unit longer than UNIT characters is filtered by logarithms, STRETCH characters
+at a time with the sums carried on, and sampled backwards in the same stretches, whose edges are then found again: memory
+is bounded but for a number a character, and no stretch changes a result. So a row's segmentation depends on its key and text alone, never on
 its partition. Weights: a BPE model stores merge ranks, not probabilities, so a piece of rank r weighs as Zipf's
 law has it, (1 / (r + 2)) ** sharpness. Characters without a piece, and the space mark itself where the text
 holds it, are spelt in byte pieces, which makes decoding exact for every text.
@@ -27,7 +29,8 @@ from pyspark.sql import functions as F
 from .common import hold, mix, slices
 
 SPACE = "▁"
-UNIT = 64
+#: Characters of a unit whose lattice is kept; of a longer unit's that are looked at together; of units whose lattices are made together.
+UNIT, STRETCH, BATCH = 64, 1 << 15, 1 << 18
 #: Units whose lattices a worker keeps; then it starts anew.
 UNITS = 120_000
 _GRID = float(1 << 24)
@@ -87,14 +90,8 @@ class Lattices:
         self.head = np.zeros(0, np.int32)
         self.until, self.back, self.piece = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
-    def add(self, units: list[str]) -> None:
-        """Lattices of new units, all at once. A unit of n characters has n + 1 nodes; an edge is a piece between two."""
-        sizes = np.array([len(u) for u in units], np.int64)
-        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
-        owner = np.repeat(np.arange(len(units)), sizes)
-        starts = np.cumsum(sizes) - sizes
-        left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # characters from here to the end of the unit
-        local = np.arange(len(codes)) - np.repeat(starts, sizes)
+    def edges(self, codes: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces in a text of characters: where they begin, length, id, weight; by end, long pieces first. left: characters that a piece may have from each place."""
         parts = []
         at = np.arange(len(codes))  # where a piece of this length may begin
         hashes = np.zeros(len(codes), np.uint64)
@@ -115,6 +112,17 @@ class Lattices:
         at, length, piece, weight = (np.concatenate(x) for x in zip(*parts[::-1], strict=True))
         order = np.argsort(at + length, kind="stable")  # by end, then start, as long pieces come first; nodes are characters plus one per unit before
         at, length, piece, weight = at[order], length[order], piece[order], weight[order]
+        return at, length, piece, weight
+
+    def add(self, units: list[str]) -> None:
+        """Lattices of new units, all at once. A unit of n characters has n + 1 nodes; an edge is a piece between two."""
+        sizes = np.array([len(u) for u in units], np.int64)
+        codes = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        owner = np.repeat(np.arange(len(units)), sizes)
+        starts = np.cumsum(sizes) - sizes
+        left = np.repeat(starts + sizes, sizes) - np.arange(len(codes))  # characters from here to the end of the unit
+        local = np.arange(len(codes)) - np.repeat(starts, sizes)
+        at, length, piece, weight = self.edges(codes, left)
         start = at + owner[at]
         end = start + length
         step = local[at] + length
@@ -145,21 +153,58 @@ class Lattices:
         self.piece = np.concatenate([self.piece, piece])
         self.nodes += len(codes) + len(units)
 
-    def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
-        """Piece ids of each text."""
-        cut = [[u[i : i + UNIT] for u in _CUT.findall(" " + t) for i in range(0, len(u), UNIT)] if t else [] for t in texts]
-        wanted = set().union(*cut)
+    def long(self, unit: str, seed: np.uint64) -> np.ndarray:
+        """Pieces drawn for one unit of any length, as `draw` does for short ones."""
+        codes = np.frombuffer(unit.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        n, most = len(codes), len(self.tables)
+        forward = np.full(n + 1, -np.inf)  # log of the total weight of the ways to each place
+        forward[0] = 0.0
+
+        def stretch(a: int, b: int) -> tuple[np.ndarray, ...]:
+            """Edges that end in a+1 .. b: start, end, id, log weight, and the first edge of each end."""
+            base = max(0, a - most)
+            at, length, piece, weight = self.edges(codes[base:b], b - base - np.arange(b - base))
+            keep = at + length + base > a
+            start, end = at[keep] + base, (at + length)[keep] + base
+            return start, end, piece[keep], np.log(weight[keep]), np.searchsorted(end, np.arange(a + 1, b + 2))
+
+        for a in range(0, n, STRETCH):
+            b = min(n, a + STRETCH)
+            start, _, _, weight, first = stretch(a, b)
+            for k in range(b - a):
+                ways = forward[start[first[k] : first[k + 1]]] + weight[first[k] : first[k + 1]]
+                top = ways.max()
+                forward[a + k + 1] = top + np.log(np.exp(ways - top).sum())
+        out, at, step = [], n, 0
+        for a in reversed(range(0, n, STRETCH)):
+            if at <= a:
+                continue
+            b = min(n, a + STRETCH)
+            start, _, piece, weight, first = stretch(a, b)
+            numbers = ((mix(seed + np.arange(step + 1, step + at - a + 1, dtype=np.uint64)) >> np.uint64(40)).astype(np.float64) + 0.5) / _GRID
+            base = step
+            while at > a:
+                i, j = first[at - a - 1], first[at - a]
+                share = np.cumsum(np.exp(forward[start[i:j]] + weight[i:j] - forward[at]))
+                pick = min(int(np.searchsorted(np.floor(share * _GRID + 0.5) / _GRID, numbers[step - base], "right")), j - i - 1)
+                out.append(piece[i + pick])
+                at, step = int(start[i + pick]), step + 1
+        return np.array(out[::-1], np.int64)
+
+    def draw(self, units: list[str], seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces drawn for units, one after the other, and how many each has."""
+        far = [i for i, u in enumerate(units) if len(u) > UNIT]
+        short = units if not far else ["" if len(u) > UNIT else u for u in units]
+        wanted = set(short) - {""}
         missing = wanted - self.units.keys()
         if len(self.units) + len(missing) > UNITS:
             self.reset()
             missing = wanted
         if missing:
             self.add(sorted(missing))
-        counts = np.array([len(c) for c in cut], np.int64)
-        unit = np.fromiter(map(self.units.__getitem__, itertools.chain.from_iterable(cut)), np.int64, int(counts.sum()))
-        begin = np.cumsum(counts) - counts
-        place = np.arange(len(unit)) - np.repeat(begin, counts)
-        seed = mix(np.repeat(seeds, counts) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        near = np.array([i for i, u in enumerate(short) if u], np.int64) if far else np.arange(len(units))
+        unit = np.fromiter((self.units[short[i]] for i in near.tolist()), np.int64, len(near)) if far else np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        seed = seeds[near]
         first, at = self.first[unit], self.last[unit]
         live, steps = np.arange(len(unit)), []
         while len(live):
@@ -169,17 +214,36 @@ class Lattices:
             while len(wait):  # a node has few edges
                 edge[wait] += 1
                 wait = wait[self.until[edge[wait]] <= u[wait]]
-            steps.append((live, self.piece[edge]))
+            steps.append((near[live], self.piece[edge]))
             at[live] = self.back[edge]
             live = live[at[live] != first[live]]
-        length = np.zeros(len(unit), np.int64)
+        length = np.zeros(len(units), np.int64)
         for who, _ in steps:
             length[who] += 1
+        whole = {i: self.long(units[i], seeds[i]) for i in far}
+        for i, own in whole.items():
+            length[i] = len(own)
         ends = np.cumsum(length)
         ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
         for k, (who, own) in enumerate(steps):
             ids[ends[who] - 1 - k] = own
-        bounds = np.concatenate([[0], ends])[np.cumsum(counts)]
+        for i, own in whole.items():
+            ids[ends[i] - len(own) : ends[i]] = own
+        return ids, length
+
+    def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
+        """Piece ids of each text."""
+        cut = [_CUT.findall(" " + t) if t else [] for t in texts]
+        counts = np.array([len(c) for c in cut], np.int64)
+        units = [*itertools.chain.from_iterable(cut)]
+        begin = np.cumsum(counts) - counts
+        place = np.arange(len(units)) - np.repeat(begin, counts)
+        seed = mix(np.repeat(seeds, counts) + place.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        blocks = np.searchsorted(np.cumsum(sizes), np.arange(BATCH, int(sizes.sum()), BATCH)) if len(units) else []
+        drawn = [self.draw(units[a:b], seed[a:b]) for a, b in zip([0, *blocks], [*blocks, len(units)], strict=True)]
+        ids, length = (np.concatenate(x) for x in zip(*drawn, strict=True))
+        bounds = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
         return [self.spell(part) for part in np.split(ids, bounds[:-1])]
 
     def spell(self, ids: np.ndarray) -> np.ndarray:
@@ -212,22 +276,30 @@ def _lists(ids: list[np.ndarray]) -> pa.Array:
 
 
 def encode(docs: DataFrame, model_path: str, key: str = "doc_id", seed: int = 11, sharpness: float = 2.0) -> DataFrame:
-    """docs with `pieces`, the sampled ids of text."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    """docs with `pieces`, the sampled ids of text; a column of that name is replaced."""
+    docs = docs.drop("pieces")
+    columns = docs.columns
+    held = docs.toDF(*[f"c{i}" for i in range(len(columns))])  # no name can clash
+    body, own = columns.index("text"), columns.index(key)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattices(model_path, sharpness)
         hold("pieces", model.reset)
-        for rows, texts in slices(batches, budget=1 << 20):
-            ids = _sampled(model, rows.column(rows.schema.get_field_index(key)), texts, seed)
+        for rows, texts in slices(batches, f"c{body}", budget=1 << 20):
+            ids = _sampled(model, rows.column(own), texts, seed)
             yield pa.RecordBatch.from_arrays([*rows.columns, _lists(ids)], names=[*rows.schema.names, "pieces"])
 
-    return docs.drop("pieces").mapInArrow(run, f"{fields}, pieces array<int>")
+    return held.mapInArrow(run, f"{fields}, pieces array<int>").toDF(*columns, "pieces")
 
 
 def decode(rows: DataFrame, model_path: str, sharpness: float = 2.0) -> DataFrame:
-    """rows with `decoded`, the text of pieces."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    """rows with `decoded`, the text of pieces; a column of that name is replaced."""
+    rows = rows.drop("decoded")
+    columns = rows.columns
+    held = rows.toDF(*[f"c{i}" for i in range(len(columns))])
+    own = columns.index("pieces")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in held.schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = lattices(model_path, sharpness)
@@ -235,10 +307,10 @@ def decode(rows: DataFrame, model_path: str, sharpness: float = 2.0) -> DataFram
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                texts = [model.decode(x or []) for x in part.column(part.schema.get_field_index("pieces")).to_pylist()]
+                texts = [model.decode(x or []) for x in part.column(own).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], names=[*part.schema.names, "decoded"])
 
-    return rows.mapInArrow(run, f"{fields}, decoded string")
+    return held.mapInArrow(run, f"{fields}, decoded string").toDF(*columns, "decoded")
 
 
 def encoded_report(docs: DataFrame, model_path: str, seed: int = 11, sharpness: float = 2.0) -> DataFrame:

@@ -451,3 +451,35 @@ def test_ledger_is_written_and_read(spark, odd):
         own = [x["failed"] & rules.POLICIES["v1"] for x in book.collect()]
         expected = (sum(bool(f & r["bit"]) for f in own), sum(f == r["bit"] for f in own), sum(not f & ~r["bit"] for f in own))
         assert (r["failing"], r["failing_alone"], r["kept_without"]) == expected
+
+
+def test_long_units_follow_the_lattice(monkeypatch):
+    """One way of filtering and sampling long units, whatever the stretches; pieces across place 64 come at their exact rate."""
+    path = tokenizer_path("piece_bpe_32k.model")
+    model = pieces.Lattices(path, 2.0)
+    word = "thener" * 12
+    whole = [model.sample([word], np.array([i], np.uint64))[0].tolist() for i in range(20)]
+    monkeypatch.setattr(pieces, "STRETCH", 17)
+    assert whole == [model.sample([word], np.array([i], np.uint64))[0].tolist() for i in range(20)]
+    monkeypatch.setattr(pieces, "UNIT", 90)
+    assert whole == [pieces.Lattices(path, 2.0).sample([word], np.array([i], np.uint64))[0].tolist() for i in range(20)]
+    assert all(model.decode(x) == word.encode() for x in whole)
+    monkeypatch.setattr(pieces, "UNIT", 3)
+    ways = Counter(tuple(model.sample(["thener"], np.array([i * 7919], np.uint64))[0].tolist()) for i in range(4000))
+    monkeypatch.setattr(pieces, "UNIT", 64)
+    short = Counter(tuple(x.tolist()) for x in pieces.Lattices(path, 2.0).sample(["thener"] * 4000, np.arange(4000, dtype=np.uint64) * np.uint64(7919)))
+    assert ways == short
+
+
+def test_many_words_and_long_runs_in_bounded_blocks(monkeypatch):
+    monkeypatch.setattr(pieces, "BATCH", 100)
+    model = pieces.Lattices(tokenizer_path("piece_bpe_32k.model"), 2.0)
+    texts = [" ".join(f"w{i}x" for i in range(500)), "", "漢字" * 300 + " end", "a" * 99 + "  " + "é\U0001f600" * 80]
+    assert [model.decode(x) for x in model.sample(texts, np.arange(4, dtype=np.uint64))] == [t.encode() for t in texts]
+
+
+def test_pieces_beside_clashing_columns(spark):
+    path = tokenizer_path("piece_bpe_32k.model")
+    df = spark.createDataFrame([(1, "some text", "x", 3, "y")], "doc_id long, text string, pieces string, c0 int, decoded string")
+    r = pieces.decode(pieces.encode(df, path), path).first()
+    assert (r["decoded"], r["c0"], r["doc_id"]) == ("some text", 3, 1)
