@@ -29,48 +29,63 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([\[<])~(~*)" + _CONTROL, "$1$2$3")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _opens(turns: Column, i: Column) -> Column:
+    """Whether turn i begins a block, as the one before has another role."""
+    return (i == 0) | (F.get(turns, i)["role"] != F.get(turns, i - 1)["role"])
+
+
 def _blocks(turns: Column) -> Column:
-    """Adjacent turns of one role as one block (role, texts)."""
-    empty = F.array().cast("array<struct<role:string,texts:array<string>>>")
+    """Adjacent turns of one role as one block (role, texts); each turn is copied once."""
+    places = F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: _opens(turns, i))
+
+    def block(starts: Column, i: Column, k: Column) -> Column:
+        own = F.slice(turns, i + 1, F.coalesce(F.get(starts, k + 1), F.size(turns)) - i)
+        return F.struct(F.get(turns, i)["role"].alias("role"), F.transform(own, lambda t: t["text"]).alias("texts"))
+
+    return _let(places, lambda starts: F.transform(starts, lambda i, k: block(starts, i, k)))
+
+
+def _append(sums: Column, x: Column) -> Column:
+    return F.concat(sums, F.array(F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0).cast("long")) + x))
 
-    def put(done: Column, turn: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.struct(turn["role"].alias("role"), F.concat(last["texts"], F.array(turn["text"])).alias("texts"))
-        new = F.struct(turn["role"].alias("role"), F.array(turn["text"]).alias("texts"))
-        same = (F.size(done) > 0) & (last["role"] == turn["role"])
-        return F.when(same, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(new)))
 
-    return F.aggregate(turns, empty, put)
+def _running(values: Column) -> Column:
+    """Sums of longs up to each place of a bound array, in chunks of about the root of their number, as appending copies an array."""
+    none = F.array().cast("array<bigint>")
+    wide = F.ceil(F.sqrt(F.size(values))).cast("int")
+    begins = F.sequence(F.lit(1), F.size(values), wide)
+    chunks = F.transform(begins, lambda b: F.aggregate(F.slice(values, b, wide), none, _append))
+    ends = lambda own: F.aggregate(F.transform(own, lambda c: F.get(c, F.size(c) - 1)), none, _append)
+    moved = lambda own, before: F.transform(own, lambda c, k: F.transform(c, lambda x: x + F.coalesce(F.get(before, k - 1), F.lit(0).cast("long"))))
+    return F.flatten(_let(chunks, lambda own: _let(ends(own), lambda before: moved(own, before))))
 
 
-def _mask(blocks: Column, role: str) -> Column:
-    """Where the texts of `role` stand in the formatted text: (start, length) in code points, from 0."""
-    span = "array<struct<start:int,length:int>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("spans"))
+def _mask(turns: Column, role: str) -> Column:
+    """Where the texts of `role` stand in the formatted text: (start, length) in UTF-8 bytes, from 0."""
+    open_ = lambda t: F.lit(len(ROLE) + len(TEXT)) + F.octet_length(t["role"])
+    before = lambda t, i: F.when(i == 0, open_(t)).when(_opens(turns, i), F.lit(len(END)) + open_(t)).otherwise(F.lit(len(NEXT)))
+    steps = F.transform(turns, lambda t, i: (before(t, i) + F.octet_length(t["text"])).cast("long"))
 
-    def block(done: Column, b: Column) -> Column:
-        first = done["at"] + F.lit(len(ROLE) + len(TEXT)) + F.length(b["role"])
-        inner = F.aggregate(
-            b["texts"],
-            F.struct(first.alias("at"), F.array().cast(span).alias("spans")),
-            lambda d, t: F.struct(
-                (d["at"] + F.length(t) + F.lit(len(NEXT))).alias("at"),
-                F.concat(d["spans"], F.array(F.struct(d["at"].alias("start"), F.length(t).alias("length")))).alias("spans"),
-            ),
-        )
-        spans = F.when(b["role"] == role, F.concat(done["spans"], inner["spans"])).otherwise(done["spans"])
-        return F.struct((inner["at"] - F.lit(len(NEXT)) + F.lit(len(END))).alias("at"), spans.alias("spans"))
+    def spans(ends: Column) -> Column:
+        every = F.transform(turns, lambda t, i: F.struct(t["role"].alias("role"), (F.get(ends, i) - F.octet_length(t["text"])).alias("start"), F.octet_length(t["text"]).cast("long").alias("length")))
+        return F.transform(F.filter(every, lambda s: s["role"] == role), lambda s: F.struct(s["start"].alias("start"), s["length"].alias("length")))
 
-    return F.aggregate(blocks, start, block)["spans"]
+    return _let(steps, lambda own: _let(_running(own), spans))
 
 
 def format_chats(rows: DataFrame, learn: str = "assistant") -> DataFrame:
-    """(conv_id, formatted, loss_mask) of rows (conv_id, turn, role, text); loss_mask covers the texts of `learn`."""
+    """(conv_id, formatted, loss_mask) of rows (conv_id, turn, role, text); loss_mask covers the texts of `learn`. A
+    conversation is one row, and so must fit in a task's memory."""
     turn = F.struct(F.col("turn"), escape(F.coalesce("role", F.lit(""))).alias("role"), escape(F.coalesce("text", F.lit(""))).alias("text"))
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
-    blocks = turns.select("conv_id", _blocks(F.col("turns")).alias("blocks"))
-    whole = F.transform("blocks", lambda b: F.concat(F.lit(ROLE), b["role"], F.lit(TEXT), F.array_join(b["texts"], NEXT), F.lit(END)))
-    return blocks.select("conv_id", F.array_join(whole, "").alias("formatted"), _mask(F.col("blocks"), learn).alias("loss_mask"))
+    line = lambda b: F.concat(F.lit(ROLE), b["role"], F.lit(TEXT), F.array_join(b["texts"], NEXT), F.lit(END))
+    done = _let(F.col("turns"), lambda t: F.struct(F.array_join(F.transform(_blocks(t), line), "").alias("formatted"), _mask(t, learn).alias("loss_mask")))
+    return turns.select("conv_id", done.alias("done")).select("conv_id", "done.formatted", "done.loss_mask")
 
 
 def parse_chats(chats: DataFrame) -> DataFrame:
@@ -80,15 +95,15 @@ def parse_chats(chats: DataFrame) -> DataFrame:
     def turns(b: Column) -> Column:
         role = unescape(F.substring_index(F.substring(b, len(ROLE) + 1, 2**31 - 1), TEXT, 1))
         body = F.element_at(F.split(b, r"\[TEXT\]", 2), 2)
-        return F.transform(F.split(body, r"\[NEXT\]"), lambda t: F.struct(role.alias("role"), unescape(t).alias("text")))
+        return _let(role, lambda r: F.transform(F.split(body, r"\[NEXT\]"), lambda t: F.struct(r.alias("role"), unescape(t).alias("text"))))
 
     return chats.withColumn("turns", F.flatten(F.transform(blocks, turns)))
 
 
 def loss_text(chats: DataFrame) -> DataFrame:
     """Adds loss_text: what the mask covers, unescaped, nothing between."""
-    part = F.transform("loss_mask", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
-    return chats.withColumn("loss_text", F.array_join(part, ""))
+    part = lambda raw: F.transform("loss_mask", lambda s: unescape(F.substring(raw, (s["start"] + 1).cast("int"), s["length"].cast("int")).cast("string")))
+    return chats.withColumn("loss_text", F.array_join(_let(F.col("formatted").cast("binary"), part), ""))
 
 
 def chat_digests(rows: DataFrame) -> DataFrame:

@@ -483,3 +483,17 @@ def test_pieces_beside_clashing_columns(spark):
     df = spark.createDataFrame([(1, "some text", "x", 3, "y")], "doc_id long, text string, pieces string, c0 int, decoded string")
     r = pieces.decode(pieces.encode(df, path), path).first()
     assert (r["decoded"], r["c0"], r["doc_id"]) == ("some text", 3, 1)
+
+
+def test_long_conversations(spark):
+    """Time and memory go with the turns, not their square."""
+    rows = spark.range(100_000).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 3 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("turn é "), F.col("id")).alias("text"))
+    from time import perf_counter
+
+    began = perf_counter()
+    r = chat.chat_digests(rows).first()
+    took = perf_counter() - began
+    loss = "".join(f"turn é {i}" for i in range(100_000) if i % 3)
+    assert (r["n_turns"], r["loss_sha256"]) == (100_000, hashlib.sha256(loss.encode()).hexdigest())
+    assert r["turns_sha256"] == hashlib.sha256("".join(f"{'assistant' if i % 3 else 'user'}\nturn é {i}\n" for i in range(100_000)).encode()).hexdigest()
+    assert took < 30
