@@ -3,18 +3,22 @@
 Neither pre-tokenizer used here joins characters across a single space between two other characters, so a
 text splits there into pieces whose ids, put together, are the ids of the text. Pieces are remembered; only
 unseen ones reach the library, many in one string. A text where white space stands beside a space, or a
-space at an end, goes to the library as it is.
+space at an end, goes to the library as it is. Empty texts have no ids; callers pass null texts as empty ones.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+from collections.abc import Iterable
 
 import numpy as np
 from tokenizers import Tokenizer
 
 #: Pieces a worker remembers at most (about 200 bytes each); then it starts anew.
 MEMO_PIECES = 500_000
+#: Pieces that go to the library in one string; it is slower with long ones.
+TOGETHER = 100
 _WHITE = "\x85"
 
 
@@ -26,6 +30,18 @@ def tokenizer(path: str) -> Tokenizer:
     return found
 
 
+class Numbers(dict):
+    """A number for each piece, in the order in which they were met; `new` holds those met since it was emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
 class Pieces:
     """What the library gives for distinct pieces."""
 
@@ -35,23 +51,25 @@ class Pieces:
         self.mark_id, mark = max((i, t.content) for i, t in added.items())
         self.mark, self.added = mark, [t.content for t in added.values()]
         self.dtype = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict = {}
+        if hasattr(self.library.model, "_resize_cache"):
+            self.library.model._resize_cache(0)  # pieces come once
+        self.reset()
+
+    def reset(self) -> None:
+        self.numbers, self.sizes = Numbers(), np.zeros(0, np.int64)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def learn(self, cut: list[list[str]], runs) -> None:
-        distinct = set().union(*cut)
-        missing = distinct - self.memo.keys()
-        if len(self.memo) + len(missing) > MEMO_PIECES:
-            self.memo.clear()
-            missing = distinct
-        odd = {p for p in missing if any(a in p for a in self.added)}
-        plain = [*(missing - odd)]
-        for i in range(0, len(plain), 4000):
-            self.memo.update(zip(plain[i : i + 4000], runs(plain[i : i + 4000]), strict=True))
-        for p in odd:
-            self.memo.update(zip([p], runs([p]), strict=True))
+    def number(self, cut: Iterable[list[str]], n: int) -> np.ndarray:
+        """Numbers of n pieces; new ones are learnt."""
+        if len(self.numbers) > MEMO_PIECES:
+            self.reset()
+        found = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(cut)), np.int64, n)
+        new, self.numbers.new = self.numbers.new, []
+        if new:
+            self.sizes = np.concatenate([self.sizes, self.learn(new)])
+        return found
 
 
 class PieceIds(Pieces):
@@ -62,51 +80,72 @@ class PieceIds(Pieces):
         self.starts = np.zeros(self.library.get_vocab_size(), bool)
         self.starts[[i for t, i in self.library.get_vocab().items() if t.startswith("Ġ")]] = True
 
-    def runs(self, pieces: list[str]) -> list[bytes | None]:
-        """Ids of each piece as bytes; None if it must not be cut off from its neighbours."""
-        white = lambda p: not p or p[0].isspace() or p[-1].isspace() or p[0] == _WHITE or p[-1] == _WHITE
-        out: list[bytes | None] = [None] * len(pieces)
-        if len(pieces) == 1 and any(a in pieces[0] for a in self.added):
-            return out
-        good = [i for i, p in enumerate(pieces) if not white(p)]
-        ids = self.ids([" " + " ".join(pieces[i] for i in good)])[0] if good else np.zeros(0, self.dtype)
-        ends = [*(np.flatnonzero(self.starts[ids]) * ids.itemsize).tolist(), ids.nbytes]
-        raw = ids.tobytes()
-        for i, a, b in zip(good, ends[:-1], ends[1:], strict=True):
-            out[i] = raw[a:b]
-        return out
+    def reset(self) -> None:
+        super().reset()
+        self.begin, self.flat, self.used = np.zeros(0, np.int64), np.zeros(1 << 16, self.dtype), 0
+
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """Keeps the ids of new pieces and gives their numbers; -1 for one that must not be cut off from its neighbours."""
+        cuttable = [bool(p) and not (p[0].isspace() or p[-1].isspace() or p[0] == _WHITE or p[-1] == _WHITE) for p in pieces]
+        if any(a in x for x in (" ".join(pieces),) for a in self.added):
+            cuttable = [c and not any(a in p for a in self.added) for c, p in zip(cuttable, pieces, strict=True)]
+        good = [*itertools.compress(pieces, cuttable)]
+        lines = [" " + " ".join(good[i : i + TOGETHER]) for i in range(0, len(good), TOGETHER)]
+        ids = np.concatenate([np.zeros(0, self.dtype), *(x for i in range(0, len(lines), 64) for x in self.ids(lines[i : i + 64]))])
+        first = np.flatnonzero(self.starts[ids])
+        if len(first) != len(good):
+            raise RuntimeError("pieces and their first ids don't match")
+        sizes, begin = np.full(len(pieces), -1, np.int64), np.zeros(len(pieces), np.int64)
+        at = np.flatnonzero(cuttable)
+        sizes[at], begin[at] = np.diff(first, append=len(ids)), first + self.used
+        self.begin = np.concatenate([self.begin, begin])
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         cut = [t.split(" ") for t in texts]
-        self.learn([p[1:] for p in cut], self.runs)
-        get, none = self.memo.__getitem__, b""
-        out: list = []
-        for pieces in cut:
-            try:  # the first piece has no space before it and is encoded with `heads`
-                out.append(none.join(map(get, pieces[1:])) if pieces[0] and not pieces[0][-1].isspace() and pieces[0][-1] != _WHITE and not any(a in pieces[0] for a in self.added) else None)
-            except TypeError:
-                out.append(None)
-        heads = iter(self.ids([p[0] if o is not None else t for p, o, t in zip(cut, out, texts, strict=True)]))
-        return [np.concatenate([next(heads), np.frombuffer(o, self.dtype)]) if o is not None else next(heads) for o in out]
+        counts = np.array([len(p) - 1 for p in cut], np.int64)
+        heads = [p.pop(0) for p in cut]  # the first piece has no space before it
+        number = self.number(cut, int(counts.sum()))
+        sizes = self.sizes[number]
+        owner = np.repeat(np.arange(len(texts)), counts)
+        whole = np.bincount(owner[sizes < 0], minlength=len(texts)) > 0
+        whole |= [not h or h[-1].isspace() or h[-1] == _WHITE or any(a in h for a in self.added) for h in heads]
+        sizes[whole[owner]] = 0
+        ends = np.cumsum(sizes)
+        ids = self.flat[np.repeat(self.begin[number] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        rest = np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)][:-1])
+        first = self.ids([t if w else h for t, h, w in zip(texts, heads, whole.tolist(), strict=True)])
+        return [f if w else np.concatenate([f, r]) for f, r, w in zip(first, rest, whole.tolist(), strict=True)]
 
 
 class PieceCounts(Pieces):
     """For tokenizers that drop white space: any space is a boundary."""
 
-    def runs(self, pieces: list[str]) -> list[int]:
-        if len(pieces) == 1:
-            return [len(self.ids(pieces)[0])]
-        ids = self.ids([self.mark.join(pieces)])[0]
-        ends = np.flatnonzero(ids == self.mark_id)
-        return np.diff(np.concatenate([[-1], ends, [len(ids)]])).__sub__(1).tolist()
+    def learn(self, pieces: list[str]) -> np.ndarray:
+        """How many ids each new piece has."""
+        out = np.zeros(len(pieces), np.int64)
+        odd = [any(a in p for a in self.added) for p in pieces] if any(a in x for x in (" ".join(pieces),) for a in self.added) else [False] * len(pieces)
+        plain, alone = ([i for i, o in enumerate(odd) if o is kind] for kind in (False, True))
+        lines = [self.mark.join(pieces[i] for i in plain[k : k + TOGETHER]) for k in range(0, len(plain), TOGETHER)]
+        sizes = []
+        for i in range(0, len(lines), 64):
+            for ids in self.ids(lines[i : i + 64]):
+                sizes.append(np.diff(np.concatenate([[-1], np.flatnonzero(ids == self.mark_id), [len(ids)]])) - 1)
+        out[plain] = np.concatenate([np.zeros(0, np.int64), *sizes])
+        out[alone] = [len(x) for x in self.ids([pieces[i] for i in alone])]
+        return out
 
     def count(self, texts: list[str]) -> list[int]:
         """Number of ids of each text."""
         cut = [t.split(" ") for t in texts]
-        self.learn(cut, self.runs)
-        get = self.memo.__getitem__
-        return [sum(map(get, pieces)) for pieces in cut]
+        counts = np.array([len(p) for p in cut], np.int64)  # one at least
+        number = self.number(cut, int(counts.sum()))
+        return np.add.reduceat(self.sizes[number], np.cumsum(counts) - counts).tolist() if len(texts) else []
 
 
 @functools.lru_cache(maxsize=2)

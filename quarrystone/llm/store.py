@@ -13,13 +13,15 @@ from one pass over the texts and one exchange, in which copies of a chunk leave
 takes every chunk from the files, checks its digest, and gives each document's length and crc32 from its chunks
 without moving ids again: crc32 of a whole is the exclusive or of the chunks' crc32s, each shifted by the bytes
 that follow. Null texts are empty (only END); rows with the same doc_id stay separate by `row`; an empty table
-gives no documents.
+gives no documents. Chunks are in the order of their digests, as they are found by content; the manifest is in ascending
+order of doc_id (nulls first, equal ones by `row`), and with the recipes gives the ids in that order.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -36,6 +38,8 @@ from .ordering import running_total
 
 END = 0
 WINDOW, LEAST, MOST, MASK = 16, 64, 2048, np.uint64(0x1FF)
+#: Ids whose rolling hashes are found at once.
+SPAN = 1 << 18
 #: Documents under one node of the manifest's tree.
 FAN = 4096
 _ODD = 0x9E3779B97F4A7C15
@@ -51,22 +55,31 @@ def merkle(leaves: list[bytes]) -> bytes:
 
 
 @functools.lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.ones(n, np.uint64), np.ones(n, np.uint64)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.ones(SPAN, np.uint64), np.ones(SPAN, np.uint64)
     up[1:], down[1:] = np.uint64(_ODD), np.uint64(pow(_ODD, -1, 1 << 64))
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of one id stream. They depend on the WINDOW ids before each end and on LEAST and MOST alone."""
-    n = len(ids)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Places in a stream whose WINDOW ids before have a rolling hash that ends a chunk."""
+    up, down = _powers()
+    found = []
+    for a in range(0, max(0, len(ids) - WINDOW + 1), SPAN - WINDOW + 1):
+        own = ids[a : a + SPAN]
+        n = len(own)
+        sums = np.cumsum(mix(own.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)
+        rolling = (sums[WINDOW - 1 :] - np.concatenate([np.zeros(1, np.uint64), sums[:-WINDOW]])) * down[WINDOW - 1 : n]
+        found.append(np.flatnonzero((mix(rolling) & MASK) == 0) + (a + WINDOW))
+    return np.concatenate([np.zeros(0, np.int64), *found])
+
+
+def _ends(n: int, at: list[int]) -> list[int]:
+    """Ends of the chunks of a stream of n ids, from the marks in it."""
     out: list[int] = []
     if n > LEAST:
-        up, down = _powers(1 << (n - 1).bit_length())
-        sums = np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)
-        rolling = (sums[WINDOW - 1 :] - np.concatenate([np.zeros(1, np.uint64), sums[:-WINDOW]])) * down[WINDOW - 1 : n]
         start = 0
-        for end in (np.flatnonzero((mix(rolling) & MASK) == 0) + WINDOW).tolist():
+        for end in at:
             while end - start > MOST:
                 start += MOST
                 out.append(start)
@@ -79,32 +92,55 @@ def cuts(ids: np.ndarray) -> list[int]:
     return out if out and out[-1] == n else [*out, n]
 
 
+def cuts(ids: np.ndarray) -> list[int]:
+    """Ends of the chunks of one id stream. They depend on the WINDOW ids before each end and on LEAST and MOST alone."""
+    return _ends(len(ids), marks(ids).tolist())
+
+
 def _encode(path: str):
+    kinds = pa.schema([("kind", pa.string()), ("key", pa.int64()), ("digest", pa.binary()), ("n", pa.int32()), ("data", pa.binary()), ("doc_id", pa.int64()), ("row", pa.int64()), ("seq", pa.int32()), ("tail", pa.int64()), ("root", pa.binary())])
+
+    def rows_of(kind: str, size: int, **columns) -> pa.RecordBatch:
+        own = {"kind": pa.array([kind] * size, pa.string()), **columns}
+        return pa.RecordBatch.from_arrays([own[f.name].cast(f.type) if f.name in own else pa.nulls(size, f.type) for f in kinds], schema=kinds)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = piece_ids(path)
         row = TaskContext.get().partitionId() << 36
         seen: set[bytes] = set()
         for rows, texts in slices(batches):
-            out: list[tuple] = []
             ids = pieces.encode([t.decode("utf-8", "replace") for t in texts])
-            for doc_id, own in zip(rows.column("doc_id").to_pylist(), ids, strict=True):
-                own = np.append(own, own.dtype.type(END))
-                raw, width, start, digests = own.tobytes(), own.itemsize, 0, []
-                for seq, end in enumerate(cuts(own)):
-                    data = raw[start * width : end * width]
-                    digest = hashlib.blake2b(data, digest_size=16).digest()
-                    if digest not in seen:
-                        if len(seen) < 1_000_000:
-                            seen.add(digest)
-                        out.append(("chunk", int.from_bytes(digest[:8], "little", signed=True), digest, end - start, data, None, None, None, None, None))
-                    digests.append(digest)
-                    out.append(("recipe", row, digest, end - start, None, doc_id, row, seq, len(own) - end, None))
-                    start = end
-                out.append(("document", row, None, len(own), None, doc_id, row, None, None, merkle(digests)))
-                row += 1
-            names = [f.split()[0] for f in _ROWS.split(", ")]
-            types = [pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+            width = pieces.dtype.itemsize
+            end = np.full(1, END, pieces.dtype)
+            stream = np.concatenate([x for own in ids for x in (own, end)])
+            sizes = np.array([len(own) + 1 for own in ids], np.int64)
+            begin = np.cumsum(sizes) - sizes
+            at, raw = marks(stream), stream.tobytes()
+            low, high = np.searchsorted(at, begin + WINDOW).tolist(), np.searchsorted(at, begin + sizes, "right").tolist()
+            ends = [_ends(n, (at[a:b] - s).tolist()) for n, s, a, b in zip(sizes.tolist(), begin.tolist(), low, high, strict=True)]
+            counts = np.array([len(e) for e in ends])
+            owner = np.repeat(np.arange(len(ids)), counts)
+            stop = np.fromiter(itertools.chain.from_iterable(ends), np.int64, int(counts.sum())) + begin[owner]
+            start = np.concatenate([[0], stop[:-1]])  # chunks cover the stream without gaps
+            data = [raw[a:b] for a, b in zip((start * width).tolist(), (stop * width).tolist(), strict=True)]
+            digests = [hashlib.blake2b(x, digest_size=16).digest() for x in data]
+            first = []
+            for i, digest in enumerate(digests):
+                if digest not in seen:
+                    first.append(i)
+                    if len(seen) < 1_000_000:
+                        seen.add(digest)
+            n = pa.array(stop - start)
+            own, place = pa.array(digests, pa.binary()), row + np.arange(len(ids))
+            key = np.frombuffer(b"".join(digests), np.int64)[::2]
+            yield rows_of("chunk", len(first), key=pa.array(key[first]), digest=own.take(pa.array(first, pa.int64())), n=n.take(pa.array(first, pa.int64())), data=pa.array([data[i] for i in first], pa.binary()))
+            doc_id = rows.column("doc_id").cast(pa.int64())
+            seq, tail = np.arange(len(owner)) - (np.cumsum(counts) - counts)[owner], (begin + sizes)[owner] - stop
+            yield rows_of("recipe", len(owner), key=pa.array(place[owner]), digest=own, n=n, doc_id=doc_id.take(pa.array(owner)), row=pa.array(place[owner]), seq=pa.array(seq), tail=pa.array(tail))
+            bounds = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            roots = [merkle(digests[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield rows_of("document", len(ids), key=pa.array(place), n=pa.array(sizes), doc_id=doc_id, row=pa.array(place), root=pa.array(roots, pa.binary()))
+            row += len(ids)
 
     return run
 
