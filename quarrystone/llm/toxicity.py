@@ -19,7 +19,8 @@ Letters are taken in lower case and without accents, other scripts by code point
 skipped; runs of single letters are read as one word; a word over LONG letters is read in overlapping parts, BLOCK letters at a
 time, so that memory is bounded for words of any length.
 
-Training takes at most SAMPLE labelled documents (by hash of doc_id). Null, empty and wordless texts get the score of no
+Training takes at most SAMPLE labelled documents (by hash of doc_id), copies and near copies once, as a text that is copied a
+hundred times makes each of its words look telling. Null, empty and wordless texts get the score of no
 evidence. Repeated rows score alike; without labels of both kinds every score is 0. Columns of any name pass `drop_toxic`.
 """
 
@@ -37,12 +38,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, fold, hold, slices
+from .common import Scratch, WordIds, fold, hold, mix, shingles, slices
 
 DECAY, SPAN, LONG = 0.7, 6, 24
-SAMPLE, CHUNK, LANDMARKS, ROUNDS = 8000, 3000, 96, 3
+SAMPLE, CHUNK, LANDMARKS, ROUNDS = 8000, 3000, 256, 3
 #: Letters that are compared at once.
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 HELD_OUT, THRESHOLD = 2, 0.3
 FEATURES, TOP = 3, 2.0
 #: Words whose scores a worker remembers.
@@ -162,14 +163,20 @@ class Machine:
             np.maximum.at(out, owner, np.bincount(row[known], weight[known] * self.weights[at], len(parts)) + self.bias)
 
         for i, word in enumerate(words):
-            step = LONG // 2 if len(word) > LONG else len(word) + 1
-            for k in range(0, max(1, len(word) - LONG // 2 if len(word) > LONG else 1), step):
-                parts.append(word[k : k + LONG] if len(word) > LONG else f"^{word}$")
+            if len(word) <= LONG:
+                parts.append(f"^{word}$")
                 owner.append(i)
-                held += len(parts[-1])
-                if held >= BLOCK:
-                    done()
-                    parts, owner, held = [], [], 0
+                held += len(word)
+            else:
+                for k in range(0, len(word) - LONG // 2, LONG // 2):
+                    parts.append(word[k : k + LONG])
+                    owner.append(i)
+                    if len(parts) * LONG >= BLOCK:
+                        done()
+                        parts, owner, held = [], [], 0
+            if held >= BLOCK:
+                done()
+                parts, owner, held = [], [], 0
         if parts:
             done()
         return out
@@ -206,7 +213,7 @@ def train_words(good: list[str], bad: list[str]) -> Machine:
     words = bad + good
     near = np.vstack([_dense(words[i : i + 256], keys) @ base.T for i in range(0, len(words), 256)]).astype(np.float64)
     y = np.concatenate([np.ones(len(bad)), -np.ones(len(good))])
-    cost = np.where(y > 0, len(good) / max(1, len(bad)), 1.0)
+    cost = np.where(y > 0, math.sqrt(len(good) / max(1, len(bad))), 1.0)
     w = _svm(near @ root, y, cost)
     return Machine(keys, base.T.astype(np.float64) @ (root @ w[:-1]), float(w[-1]))
 
@@ -257,6 +264,14 @@ class Scorer:
         return [w for a, b in edges.reshape(-1, 2).tolist() if b - a > 2 and len(w := letters(b"".join(words[a:b]))) > 2]
 
 
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the smallest hash of a text's five-word shingles, under two hashes; 0 without words."""
+    for rows, texts in slices(batches):
+        sets = [shingles(WordIds().of(t.lower().split()), 5) for t in texts]
+        least = [[int(mix(own ^ np.uint64(salt)).min(initial=(1 << 64) - 1) >> np.uint64(1)) if len(own) else 0 for own in sets] for salt in (0x1F1F, 0x2E2E)]
+        yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(x, pa.int64()) for x in least)], names=["toxic", "text", "first", "second"])
+
+
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in slices(batches):
         words = [sorted({y for x in map(letters, set(t.split())) if len(x) > 2 for y in ([x] if len(x) <= LONG else parts_of(x))}) for t in texts]
@@ -300,8 +315,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     scratch = Scratch(docs.sparkSession)
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold() != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     chosen = F.broadcast(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE))  # at most SAMPLE rows
-    half = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("half")), F.lit(2)).cast("int").alias("half")  # copies of a text are in one half
-    rows = scratch.staged(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", half, "text"), "labelled")
+    told = scratch.staged(docs.select("doc_id", "text").join(chosen, "doc_id").select("toxic", "text"), "labelled")
+    # copies and near copies count once: of those with one smallest shingle hash, under each of two hashes, one stays
+    rows = told.mapInArrow(_signed, "toxic int, text string, first long, second long")
+    for key in ("first", "second"):
+        rows = rows.groupBy("toxic", key).agg(F.min(F.struct(F.xxhash64("text"), "text", "first" if key == "second" else "second")).alias("r")).select("toxic", key, "r.*")
+    rows = scratch.staged(rows.select("toxic", F.pmod(F.xxhash64("second", F.lit("half")), F.lit(2)).cast("int").alias("half"), "text"), "once")
     n = {(r["toxic"], r["half"]): r["n"] for r in rows.groupBy("toxic", "half").agg(F.count("*").alias("n")).collect()}
     machine = Machine()
     if len({y for y, _ in n}) == 2:
