@@ -47,19 +47,22 @@ BLOCK = 1 << 13
 HELD_OUT, THRESHOLD = 2, 0.3
 FEATURES, TOP = 3, 2.0
 #: Words whose scores a worker remembers.
-MEMO = 250_000
+MEMO = 400_000
 
 _GAPS = [(d, e) for d in range(1, SPAN) for e in range(1, SPAN) if d + e < SPAN]
 _BEGIN, _STOP = 26, 27
 #: Codes of letters. Those of alphabets have one each; ideographs share them.
 _CODES = 1 << 13
 _DIM = _CODES**3
+_OTHER = bytes(c for c in range(128) if not chr(c).isalpha())
 
 
 def letters(word: bytes) -> str:
     """Lower case, without accents and what is no letter."""
-    text = word.decode("utf-8", "replace").lower()
-    return "".join(c for c in (text if text.isascii() else unicodedata.normalize("NFKD", text)) if c.isalpha())
+    if word.isascii():
+        return word.lower().translate(None, _OTHER).decode()
+    text = unicodedata.normalize("NFKD", word.decode("utf-8", "replace").lower())
+    return text if text.isalpha() else "".join(filter(str.isalpha, text))
 
 
 def parts_of(word: str) -> list[str]:
@@ -106,7 +109,7 @@ def _weights(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     key, weight = np.concatenate(keys), np.concatenate(weights)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     key, weight = key[order], weight[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     key, weight = key[first], np.add.reduceat(weight, first) if len(first) else weight[:0]
@@ -250,14 +253,17 @@ class Scorer:
         return float(np.clip(first, -TOP, TOP)), float(np.clip(second, -TOP, TOP)), math.log((over + 0.2) / (len(values) + 20))
 
     def of(self, words: list[bytes]) -> list[float]:
-        return self.machine.words([letters(w) for w in words]).tolist()
+        plain = [letters(w) for w in words]
+        once = [*set(plain)]
+        return [*map(dict(zip(once, self.machine.words(once).tolist(), strict=True)).__getitem__, plain)]
 
     @staticmethod
     def spelt(words: list[bytes]) -> list[str]:
         """Words spelt as runs of three single letters or more."""
         sizes = np.fromiter(map(len, words), np.int32, len(words))
         one = sizes == 1
-        for k in np.flatnonzero((sizes > 1) & (sizes < 8)).tolist():  # a letter of several bytes, or with its accent beside it
+        wide = [] if all(map(bytes.isascii, words)) else np.flatnonzero((sizes > 1) & (sizes < 8)).tolist()
+        for k in wide:  # a letter of several bytes, or with its accent beside it
             if not words[k].isascii():
                 one[k] = len(unicodedata.normalize("NFC", words[k].decode("utf-8", "replace"))) == 1
         edges = np.flatnonzero(np.diff(np.concatenate([[0], one.view(np.int8), [0]])))
