@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import Scope, arithmetic, predicate
@@ -75,13 +75,11 @@ def sort(df: DataFrame, order: list[str] | str, within_partitions: bool = False)
 
 
 def out_of_order(df: DataFrame, order: list[str] | str) -> int:
-    """Neighbours in the wrong order; each partition is read as it stands, and partition ends are compared as well."""
+    """Neighbours in the wrong order, in one pass: each partition is read as it stands, and a partition's last row is compared
+    with the first one of the next that has rows."""
     keys = parse_sort_order(order) if isinstance(order, str) else order
-    struct = F.struct(*keys)
-    rows = df.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), struct.alias("k"))
-    from pyspark.sql import Window
-
-    inner = rows.select("p", "k", F.lag("k").over(Window.partitionBy("p").orderBy("i")).alias("before"))
-    wrong = inner.where("k < before").count()
-    ends = inner.groupBy("p").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("p").collect()  # a row per partition
-    return wrong + sum(tuple(b["lo"]) < tuple(a["hi"]) for a, b in zip(ends, ends[1:], strict=False))
+    rows = df.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), F.struct(*keys).alias("k"))
+    inner = rows.withColumn("before", F.lag("k").over(Window.partitionBy("p").orderBy("i")))
+    parts = inner.groupBy("p").agg(F.count_if(F.col("k") < F.col("before")).alias("wrong"), F.min_by("k", "i").alias("first"), F.max_by("k", "i").alias("last"))
+    ends = parts.withColumn("before", F.lag("last").over(Window.orderBy("p")))  # a row per partition
+    return ends.agg(F.coalesce(F.sum(F.col("wrong") + F.when(F.col("first") < F.col("before"), 1).otherwise(0)), F.lit(0)).alias("n")).first()["n"]

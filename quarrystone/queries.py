@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -40,9 +42,28 @@ def _dialect(text: str, **how: object) -> Query:
     return lambda spark, d: Planner(lambda t: _table(spark, d, t), Statistics.tpch(), **how).run(text)
 
 
-def _numbered(df: DataFrame, *keys: str) -> DataFrame:
-    """The order as a column, for comparisons that ignore it. One task sorts all rows: small tables only."""
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*keys)).cast("long"))
+def _placed(df: DataFrame, *first: str) -> DataFrame:
+    """The rows' places as a column, for comparisons that ignore order: places follow partitions and rows as they stand, whatever
+    the keys. One task numbers all rows: small tables only."""
+    held = df.withColumn("_at", F.monotonically_increasing_id())
+    return held.withColumn("place", F.row_number().over(Window.orderBy(*first, "_at")).cast("long")).drop("_at", *first)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table's rows with their places in its files, which are in order of their names."""
+    return _placed(S.open_table(spark, path).withColumn("_file", F.input_file_name()), "_file")
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarrystone-")
+    return f"{root.rstrip('/')}/quarrystone-tables/{name}-{uuid.uuid4().hex}"
+
+
+def _tbl(df: DataFrame, path: str) -> str:
+    """df as text with `|` after each field, nulls as empty ones."""
+    df.select(F.concat(*[F.concat(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|")) for c in df.columns]).alias("line")).write.text(path)
+    return path
 
 
 # Scans and filters
@@ -88,6 +109,8 @@ _add("sum_expr", "SELECT ROUND(SUM(s_acctbal + (s_acctbal * 1.05)), 2) AS sum FR
 _add("sum_int_division", "SELECT CAST(SUM(CAST(n_nationkey AS BIGINT) // 7) AS BIGINT) AS sum FROM nation", _on("nation", lambda t: R.total(t, "n_nationkey / 7")))
 _add("sum_double_division", "SELECT ROUND(SUM(p_retailprice / p_size), 2) AS sum FROM part", _on("part", lambda t: _rounded(R.total(t, "p_retailprice / p_size"))))
 _add("sum_unary_minus", "SELECT CAST(SUM(-(n_nationkey + 3)) AS BIGINT) AS sum FROM nation", _on("nation", lambda t: R.total(t, "- (n_nationkey + 3)")))
+_add("sum_binary_minus", "SELECT CAST(SUM(n_nationkey - (n_regionkey - 3)) AS BIGINT) AS sum FROM nation", _on("nation", lambda t: R.total(t, "n_nationkey - n_regionkey - 3")))
+_add("sum_negative_division", "SELECT CAST(SUM(CAST(trunc((n_nationkey - 12) / 5.0) AS BIGINT)) AS BIGINT) AS sum FROM nation WHERE n_nationkey < 20", _on("nation", lambda t: R.total(R.select(t, "(n_nationkey < 20)"), "(n_nationkey - 12) / 5")))
 _add("sum_right_assoc", "SELECT CAST(SUM(n_nationkey * (n_regionkey + 2)) AS BIGINT) AS sum FROM nation", _on("nation", lambda t: R.total(t, "n_nationkey * n_regionkey + 2")))
 _add("sum_precedence", "SELECT CAST(SUM(n_nationkey * n_regionkey + 2) AS BIGINT) AS sum FROM nation", _on("nation", lambda t: R.total(t, "n_nationkey * n_regionkey + 2", precedence="standard")))
 _add("sum_empty", "SELECT CAST(SUM(n_nationkey) AS BIGINT) AS sum FROM nation WHERE n_nationkey > 1000", _on("nation", lambda t: R.total(R.select(t, "(n_nationkey > 1000)"), "n_nationkey")))
@@ -101,10 +124,40 @@ _add("drain", "SELECT COUNT(*) AS n, CAST(SUM(n_nationkey) AS BIGINT) AS s FROM
 
 # Order and stored tables
 
-_add("sort_single", "SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS place FROM supplier", _on("supplier", lambda t: _numbered(R.sort(R.project(t, "s_suppkey", "s_acctbal"), "(s_acctbal) AND (s_suppkey)"), "s_acctbal", "s_suppkey")))
-_add("sort_multi", "SELECT c_custkey, c_mktsegment, c_nationkey, row_number() OVER (ORDER BY c_mktsegment, c_nationkey, c_custkey) AS place FROM customer", _on("customer", lambda t: _numbered(R.sort(R.project(t, "c_custkey", "c_mktsegment", "c_nationkey"), ["c_mktsegment", "c_nationkey", "c_custkey"]), "c_mktsegment", "c_nationkey", "c_custkey")))
-_add("sort_check", "SELECT CAST(0 AS BIGINT) AS wrong", lambda spark, d: spark.createDataFrame([(R.out_of_order(R.sort(_table(spark, d, "orders"), "(o_custkey) AND (o_orderkey)"), "(o_custkey) AND (o_orderkey)"),)], "wrong long"))
-_add("sorted_file_merge", "SELECT n_nationkey, n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS place FROM nation", _on("nation", lambda t: _numbered(S.merge_sorted(R.select(t, "(n_nationkey < 12)"), R.select(t, "(n_nationkey > 11)"), ["n_nationkey"]), "n_nationkey")))
+_add("sort_single", "SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS place FROM supplier", _on("supplier", lambda t: _placed(R.sort(R.project(t, "s_suppkey", "s_acctbal"), "(s_acctbal) AND (s_suppkey)"))))
+_add("sort_multi", "SELECT c_custkey, c_mktsegment, c_nationkey, row_number() OVER (ORDER BY c_mktsegment, c_nationkey, c_custkey) AS place FROM customer", _on("customer", lambda t: _placed(R.sort(R.project(t, "c_custkey", "c_mktsegment", "c_nationkey"), ["c_mktsegment", "c_nationkey", "c_custkey"]))))
+_add(
+    "sort_check",
+    "SELECT CAST(0 AS BIGINT) AS wrong, (SELECT COUNT(*) - 1 FROM nation) AS reversed",
+    lambda spark, d: spark.createDataFrame(
+        [(R.out_of_order(R.sort(_table(spark, d, "orders"), "(o_custkey) AND (o_orderkey)"), "(o_custkey) AND (o_orderkey)"), R.out_of_order(_table(spark, d, "nation").orderBy(F.desc("n_nationkey")), ["n_nationkey"]))], "wrong long, reversed long"
+    ),
+)
+_add("sorted_file_merge", "SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS place FROM supplier", _on("supplier", lambda t: _placed(S.merge_sorted(R.project(R.select(t, "(s_suppkey < 5)"), "s_suppkey", "s_acctbal"), R.project(R.select(t, "(s_suppkey > 4)"), "s_suppkey", "s_acctbal"), ["s_acctbal", "s_suppkey"]))))
+
+
+def _loaded(spark: SparkSession, d: str, keys: list[str] | None) -> str:
+    rows = _table(spark, d, "supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 7 > 0, F.col("s_name")).alias("s_name"), F.when(F.col("s_suppkey") % 5 > 0, F.col("s_acctbal")).alias("s_acctbal"))
+    path = _path(spark, "loaded")
+    S.load_tbl(spark, _tbl(rows, _path(spark, "text")), rows.schema, path, keys)
+    return path
+
+
+def _inserted(spark: SparkSession, d: str, keys: list[str] | None) -> str:
+    rows, path = _table(spark, d, "customer").select("c_custkey", "c_acctbal"), _path(spark, "inserted")
+    some = R.select(rows, "(c_acctbal < 3000.0)")
+    S.create_sorted(some, path, keys) if keys else S.create_heap(some, path)
+    for rest in ("(c_acctbal > 6000.0)", "(c_acctbal > 2999.999) AND (c_acctbal < 6000.001)"):
+        S.insert(R.select(rows, rest), path)
+    return path
+
+
+_LOADED = "SELECT s_suppkey, CASE WHEN s_suppkey % 7 > 0 THEN s_name ELSE '' END AS s_name, CASE WHEN s_suppkey % 5 > 0 THEN s_acctbal ELSE 0.0 END AS s_acctbal FROM supplier"
+_add("tbl_load_heap", _LOADED, lambda spark, d: S.open_table(spark, _loaded(spark, d, None)))
+_add("tbl_load_sorted", f"SELECT *, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS place FROM ({_LOADED})", lambda spark, d: _stored(spark, _loaded(spark, d, ["s_acctbal", "s_suppkey"])))
+_add("heap_insert", "SELECT c_custkey, c_acctbal FROM customer", lambda spark, d: S.open_table(spark, _inserted(spark, d, None)))
+_add("sorted_insert", "SELECT c_custkey, c_acctbal, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS place FROM customer", lambda spark, d: _stored(spark, _inserted(spark, d, ["c_acctbal", "c_custkey"])))
+_add("sorted_order", "SELECT * FROM (VALUES (1, 'c_acctbal'), (2, 'c_custkey')) t(nth, attribute)", lambda spark, d: spark.createDataFrame([*enumerate(S.order_of(spark, _inserted(spark, d, ["c_acctbal", "c_custkey"])), 1)], "nth int, attribute string"))
 _add("write_out_format", "SELECT 'n_nationkey:[' || n_nationkey || '],n_name:[' || n_name || '],n_regionkey:[' || n_regionkey || ']' AS line FROM nation", _on("nation", S.lines))
 _add("print_format", "SELECT 'r_regionkey: [' || r_regionkey || '], r_name: [' || r_name || ']' AS line FROM region", _on("region", S.printed))
 _add("compose_records", "SELECT * FROM (VALUES (1, 'a', 0.5), (2, 'b', 1.5)) t(k, name, v)", lambda spark, _: S.compose(spark, [(1, "a", 0.5), (2, "b", 1.5)], parse_catalog("BEGIN\nt\nt.tbl\nk Int\nname String\nv Double\nEND")["t"][1]))
@@ -124,6 +177,7 @@ for _name, (_text, _sql) in _CASES.items():
     _add(_name, _sql, _dialect(_text))
 _add("sql_tc5_compat", _CASES["sql_tc5"][1].replace("DISTINCT ", ""), _dialect(_CASES["sql_tc5"][0], compat=True))
 
+_add("sum_distinct_global_compat", "SELECT CAST(SUM(n_regionkey) AS BIGINT) AS sum FROM nation WHERE n_nationkey > 5", _dialect("SELECT SUM DISTINCT (n.n_regionkey) FROM nation AS n WHERE (n.n_nationkey > 5)", compat=True))
 FLAGSHIP = _CASES["sql_tc5"][0].replace("DISTINCT ", "")
 _add("flagship", _SQL["sql_tc5_compat"], lambda spark, d: flagship(spark, d))
 
@@ -156,7 +210,86 @@ def estimates() -> list[tuple[str, float]]:
 
 
 _add("stats_estimate", "SELECT * FROM (VALUES ('join', CAST(800000.0 AS DOUBLE)), ('or_list', CAST(857316.4 AS DOUBLE)), ('same_name', CAST(48000.0 AS DOUBLE))) t(name, estimate)", lambda spark, _: spark.createDataFrame(estimates(), "name string, estimate double"))
-_add("explain_plan", None, lambda spark, d: spark.createDataFrame(list(enumerate(Planner(lambda t: _table(spark, d, t), Statistics.tpch()).plan(_CASES["sql_tc6"][0]).lines())), "line long, text string"))
+# The printed plan of sql_tc6.
+_PLAN = (
+    'Number of selects: 1',
+    'Number of joins: 2',
+    'SelectFile supplier -> pipe 0 [supplier AS s]',
+    '  s.s_suppkey: bigint',
+    '  s.s_name: string',
+    '  s.s_nationkey: int',
+    '  s.s_acctbal: double',
+    'SelectPipe pipe 0 -> pipe 1 [(s.s_acctbal > 2500.0)]',
+    '  s.s_suppkey: bigint',
+    '  s.s_name: string',
+    '  s.s_nationkey: int',
+    '  s.s_acctbal: double',
+    'SelectFile lineitem -> pipe 2 [lineitem AS l]',
+    '  l.l_orderkey: bigint',
+    '  l.l_partkey: bigint',
+    '  l.l_suppkey: bigint',
+    '  l.l_linenumber: int',
+    '  l.l_quantity: double',
+    '  l.l_extendedprice: double',
+    '  l.l_discount: double',
+    '  l.l_tax: double',
+    '  l.l_returnflag: string',
+    '  l.l_linestatus: string',
+    '  l.l_shipdate: timestamp_ntz',
+    'Join pipe 1, pipe 2 -> pipe 3 [(s.s_suppkey = l.l_suppkey)]',
+    '  s.s_suppkey: bigint',
+    '  s.s_name: string',
+    '  s.s_nationkey: int',
+    '  s.s_acctbal: double',
+    '  l.l_orderkey: bigint',
+    '  l.l_partkey: bigint',
+    '  l.l_suppkey: bigint',
+    '  l.l_linenumber: int',
+    '  l.l_quantity: double',
+    '  l.l_extendedprice: double',
+    '  l.l_discount: double',
+    '  l.l_tax: double',
+    '  l.l_returnflag: string',
+    '  l.l_linestatus: string',
+    '  l.l_shipdate: timestamp_ntz',
+    'SelectFile part -> pipe 4 [part AS p]',
+    '  p.p_partkey: bigint',
+    '  p.p_name: string',
+    '  p.p_brand: string',
+    '  p.p_type: string',
+    '  p.p_size: int',
+    '  p.p_retailprice: double',
+    'Join pipe 3, pipe 4 -> pipe 5 [(p.p_partkey = l.l_partkey)]',
+    '  s.s_suppkey: bigint',
+    '  s.s_name: string',
+    '  s.s_nationkey: int',
+    '  s.s_acctbal: double',
+    '  l.l_orderkey: bigint',
+    '  l.l_partkey: bigint',
+    '  l.l_suppkey: bigint',
+    '  l.l_linenumber: int',
+    '  l.l_quantity: double',
+    '  l.l_extendedprice: double',
+    '  l.l_discount: double',
+    '  l.l_tax: double',
+    '  l.l_returnflag: string',
+    '  l.l_linestatus: string',
+    '  l.l_shipdate: timestamp_ntz',
+    '  p.p_partkey: bigint',
+    '  p.p_name: string',
+    '  p.p_brand: string',
+    '  p.p_type: string',
+    '  p.p_size: int',
+    '  p.p_retailprice: double',
+    'GroupBy pipe 5 -> pipe 6 [l.l_linenumber]',
+    '  sum: bigint',
+    '  s.s_suppkey: bigint',
+    'Write pipe 6 -> pipe 7',
+    '  sum: bigint',
+    '  s.s_suppkey: bigint',
+)
+_ROWS = ", ".join("({}, '{}')".format(i, x.replace("'", "''")) for i, x in enumerate(_PLAN))
+_add("explain_plan", f"SELECT CAST(line AS BIGINT) AS line, text FROM (VALUES {_ROWS}) t(line, text)", lambda spark, d: spark.createDataFrame(list(enumerate(Planner(lambda t: _table(spark, d, t), Statistics.tpch()).plan(_CASES["sql_tc6"][0]).lines())), "line long, text string"))
 
 
 def queries() -> dict[str, Query]:

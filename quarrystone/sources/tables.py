@@ -44,12 +44,27 @@ def load_tbl(spark: SparkSession, text: str, schema: T.StructType, path: str, ke
     return create_sorted(rows, path, keys) if keys else create_heap(rows, path)
 
 
+def _files(spark: SparkSession, *paths: str) -> tuple:
+    """The file system of paths, and the paths as it has them."""
+    found = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p.rstrip("/")) for p in paths]
+    return found[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *found
+
+
+def _recover(spark: SparkSession, path: str) -> None:
+    """If a writer was lost while a new table took the old one's place, the old one goes back there."""
+    files, now, aside = _files(spark, path, f"{path.rstrip('/')}.replaced")
+    if not files.exists(now) and files.exists(aside):
+        files.rename(aside, now)
+
+
 def open_table(spark: SparkSession, path: str) -> DataFrame:
+    _recover(spark, path)
     return spark.read.parquet(path)
 
 
 def order_of(spark: SparkSession, path: str) -> list[str] | None:
     """Sort keys of a stored table; None for a heap."""
+    _recover(spark, path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_order.txt")
     files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(where):
@@ -70,24 +85,51 @@ def _write_order(spark: SparkSession, path: str, keys: list[str]) -> None:
         stream.close()
 
 
-def insert(df: DataFrame, path: str) -> None:
-    """Appends to a heap; a sorted table is merged into a new one and takes the old one's place."""
+def insert(df: DataFrame, path: str, batch: int | None = None) -> None:
+    """Appends to a heap; a sorted table is merged into a new one and takes the old one's place, by two renames, between which
+    the old one lies aside and comes back if the writer is lost. `batch` numbers inserts: one that the table already has is
+    left out. A sorted table and its number change together; a heap's number follows the rows."""
     spark = df.sparkSession
     keys = order_of(spark, path)
+    if batch is not None and batch <= _read_number(spark, path):
+        return
     if keys is None:
         df.write.mode("append").parquet(path)
+        _write_number(spark, path, batch)
         return
-    merged = f"{path.rstrip('/')}.merging"
+    merged, aside = (f"{path.rstrip('/')}.{x}" for x in ("merging", "replaced"))
+    number = _read_number(spark, path) if batch is None else batch
     create_sorted(merge_sorted(open_table(spark, path), df, keys), merged, keys)
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(merged)
-    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    files.delete(old, True)
-    if not files.rename(new, old):
+    _write_number(spark, merged, number if number >= 0 else None)
+    files, old, new, away = _files(spark, path, merged, aside)
+    files.delete(away, True)
+    if not (files.rename(old, away) and files.rename(new, old)):
         raise OSError(f"{merged} could not take the place of {path}")
+    files.delete(away, True)
     spark.catalog.refreshByPath(path)
 
 
+def _read_number(spark: SparkSession, path: str) -> int:
+    files, where = _files(spark, f"{path.rstrip('/')}/_batch.txt")
+    if not files.exists(where):
+        return -1
+    stream = files.open(where)
+    try:
+        return int(str(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+    finally:
+        stream.close()
+
+
+def _write_number(spark: SparkSession, path: str, number: int | None) -> None:
+    if number is not None:
+        files, where = _files(spark, f"{path.rstrip('/')}/_batch.txt")
+        stream = files.create(where, True)
+        try:
+            stream.write(bytearray(str(number).encode()))
+        finally:
+            stream.close()
+
+
 def merge_sorted(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return table.unionByName(new).orderBy(*keys)
 

@@ -18,5 +18,6 @@ def arriving(spark: SparkSession, folder: str, schema: T.StructType, where: str
 
 
 def load_arriving(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Inserts what has arrived into the table at `path`, which keeps its order if it has one, and stops."""
-    return rows.writeStream.foreachBatch(lambda batch, _: insert(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Inserts what has arrived into the table at `path`, which keeps its order if it has one, and stops. The table holds the number
+    of the last batch, so a batch that is played again isn't inserted twice."""
+    return rows.writeStream.foreachBatch(lambda batch, number: insert(batch, path, number)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -135,3 +135,31 @@ def test_measured_statistics(spark):
     s = Statistics()
     s.add_frame("nation", spark.read.parquet(f"{SF}/nation.parquet"))
     assert s.relations["nation"].size == 25 and s.relations["nation"].distinct["n_regionkey"] == 5
+
+
+def test_order_is_checked_by_first_and_last_rows(spark):
+    parts = spark.createDataFrame([(5,), (1,)], "a int").coalesce(1).union(spark.createDataFrame([(2,)], "a int").coalesce(1))
+    assert R.out_of_order(parts, ["a"]) == 1 and R.out_of_order(parts.limit(0), ["a"]) == 0
+
+
+@pytest.mark.parametrize("name", ["sort_single", "sort_multi", "sort_check"])
+def test_order_rows_notice_a_missing_sort(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(R, "sort", lambda df, order, within_partitions=False: df)
+    ours, theirs = Q.queries()[name](spark, SF).toPandas(), duck.execute(Q.oracle_sql()[name]).df()
+    assert sorted(map(str, ours[sorted(ours)].values.tolist())) != sorted(map(str, theirs[sorted(ours)].values.tolist()))
+
+
+def test_a_lost_writer_leaves_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    tables.create_sorted(spark.range(5), path, ["id"])
+    os.rename(path, path + ".replaced")
+    assert tables.open_table(spark, path).count() == 5 and tables.order_of(spark, path) == ["id"]
+
+
+@pytest.mark.parametrize("keys", [None, ["id"]])
+def test_a_batch_counts_once(spark, tmp_path, keys):
+    path = str(tmp_path / "t")
+    tables.create_sorted(spark.range(2), path, keys) if keys else tables.create_heap(spark.range(2), path)
+    for batch in (0, 0, 1, 1, 0):
+        tables.insert(spark.range(3), path, batch)
+    assert tables.open_table(spark, path).count() == 8
