@@ -1,5 +1,9 @@
 """A corpus in five stages: toxic documents go, one of each group of near copies stays, documents with benchmark
 passages go, personal data is masked, and the rest is encoded. Each stage is written as Parquet and read by the next.
+
+Null texts count as empty: such documents stay (null and wordless texts resemble nothing) and get no pieces. Null and repeated
+doc_ids are rows like others, told apart by their place; of rows with one text one stays. An empty table gives an empty
+one. Further columns pass all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -7,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrystone.llm import decontaminate, jaccard, pieces, pii, toxicity
-from quarrystone.llm.common import read, shared_path
+from quarrystone.llm.common import delete_path, read, shared_path
 from quarrystone.llm.queries import tokenizer_path
 
 
@@ -49,9 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = shared_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            delete_path(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
