@@ -380,9 +380,11 @@ def similar(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
 def drop_similar(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each component of linked rows: that of the smallest doc_id, null ids last. Rows that share a
     doc_id or have none count by their own texts."""
-    rows = numbered(docs)
-    near = similar(rows.select(F.col("_row").alias("doc_id"), "text"), width, percent).select(F.col("doc_id").alias("_row"), "component_id")
-    named = near.join(rows.select("_row", "doc_id", F.xxhash64("text").alias("_hash")), "_row")
+    columns = docs.columns
+    rows = numbered(docs.toDF(*[f"c{i}" for i in range(len(columns))]))  # no name can clash
+    doc_id, text = (F.col(f"c{columns.index(c)}") for c in ("doc_id", "text"))
+    near = similar(rows.select(F.col("_row").alias("doc_id"), text.alias("text")), width, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    named = near.join(rows.select("_row", doc_id.alias("doc_id"), F.xxhash64(text).alias("_hash")), "_row")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_hash", "_row"))
     kept = named.groupBy("component_id").agg(first.alias("_first")).select("_first._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    return rows.join(kept, "_row", "left_semi").drop("_row").toDF(*columns)

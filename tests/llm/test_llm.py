@@ -497,3 +497,68 @@ def test_long_conversations(spark):
     assert (r["n_turns"], r["loss_sha256"]) == (100_000, hashlib.sha256(loss.encode()).hexdigest())
     assert r["turns_sha256"] == hashlib.sha256("".join(f"{'assistant' if i % 3 else 'user'}\nturn é {i}\n" for i in range(100_000)).encode()).hexdigest()
     assert took < 30
+
+
+def test_stages_take_clashing_columns_and_odd_rows(spark):
+    rows = [(i, t, "en", "s", len(t or ""), 1.5, "e", 2, 3, 4, "x") for i, t in enumerate([None, "", "same text of six words here", "same text of six words here", "mail me at a@b.co now please", "a b"])]
+    names = ["doc_id", "text", "lang", "source", "n_chars", "score", "evidence", "_row", "row", "shard", "_spans"]
+    df = spark.createDataFrame(rows, names)
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "not there at all in any of them")], "item_id long, text string")
+    calm = toxicity.drop_toxic(df, labels)
+    apart = jaccard.drop_similar(df)
+    clean = decontaminate.drop_leaks(df, bench)
+    masked = pii.redact(df)
+    assert (calm.columns, apart.columns, clean.columns, masked.columns) == (names,) * 4
+    assert (calm.count(), apart.count(), clean.count()) == (6, 5, 6)
+    assert {r["doc_id"]: r["text"] for r in masked.collect()}[4] == "mail me at <EMAIL> now please"
+    assert pii.redact(df.limit(0)).count() == toxicity.drop_toxic(df.limit(0), labels).count() == decontaminate.drop_leaks(df, bench.limit(0)).count() - 6 == 0
+
+
+def test_evidence_only_raises_scores():
+    curve = toxicity._logistic(np.array([[0.0, 1, 2], [1, 0, 1], [0.5, 1, 0], [2, 0, 1]] * 5), np.array([0.0, 1, 0, 1] * 5))
+    assert min(curve[:3]) >= 0
+    machine = toxicity.train_words(["stone", "water", "there", "listen", "garden", "river", "evening"], ["idiot", "moron"])
+    machine.curve = (1.0, 1.0, 1.0, 3.0)
+    scorer = toxicity.Scorer(machine)
+    score = lambda t: machine.score(scorer.texts([t]))[0]
+    clean = b"the garden near the river in the evening there"
+    assert all(score(clean + extra) > score(clean) for extra in (b" idiot", b" idxiot", b" i d i o t"))
+
+
+def test_scores_agree_with_the_kernel():
+    """A word's value, from folded weights, is the machine's weighted sum of kernels with the landmarks."""
+    good, bad = ["stone", "water", "there", "listen"], ["idiot", "moron"]
+    machine = toxicity.train_words(good, bad)
+    words = ["idiot", "idxiot", "waters", "stony"]
+    marks = bad + good
+    gram = toxicity.kernel(marks, marks).astype(float)
+    values, vectors = np.linalg.eigh(gram)
+    root = vectors / np.sqrt(values)
+    x, y = toxicity.kernel(words + marks, marks).astype(float) @ root, np.array([1.0, 1, -1, -1, -1, -1])
+    w = toxicity._svm(x[4:], y, np.where(y > 0, 2**0.5, 1.0))
+    assert machine.words(words) == pytest.approx(x[:4] @ w[:-1] + w[-1], abs=1e-3)
+
+
+def test_long_words_in_bounded_memory():
+    import tracemalloc
+
+    machine = toxicity.train_words(["stone", "water"], ["idiot"])
+    tracemalloc.start()
+    toxicity.Scorer(machine).texts([b"ab" * 500_000])
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def test_a_shared_folder_is_asked_for(spark, monkeypatch):
+    from quarrystone.llm import common
+
+    class Far:
+        master = "spark://somewhere"
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = Far
+
+    with pytest.raises(ValueError):
+        common.shared_path(Session, "x")
