@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections import defaultdict
 from collections.abc import Iterable
 
 import numpy as np
@@ -30,18 +31,6 @@ def tokenizer(path: str) -> Tokenizer:
     return found
 
 
-class Numbers(dict):
-    """A number for each piece, in the order in which they were met; `new` holds those met since it was emptied."""
-
-    def __init__(self):
-        self.new: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        n = self[piece] = len(self)
-        self.new.append(piece)
-        return n
-
-
 class Pieces:
     """What the library gives for distinct pieces."""
 
@@ -56,7 +45,7 @@ class Pieces:
         self.reset()
 
     def reset(self) -> None:
-        self.numbers, self.sizes = Numbers(), np.zeros(0, np.int64)
+        self.numbers, self.sizes = defaultdict(itertools.count().__next__), np.zeros(0, np.int64)  # in the order in which they were met
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
@@ -66,7 +55,7 @@ class Pieces:
         if len(self.numbers) > MEMO_PIECES:
             self.reset()
         found = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(cut)), np.int64, n)
-        new, self.numbers.new = self.numbers.new, []
+        new = [*itertools.islice(reversed(self.numbers), len(self.numbers) - len(self.sizes))][::-1]
         if new:
             self.sizes = np.concatenate([self.sizes, self.learn(new)])
         return found
@@ -86,7 +75,7 @@ class PieceIds(Pieces):
 
     def learn(self, pieces: list[str]) -> np.ndarray:
         """Keeps the ids of new pieces and gives their numbers; -1 for one that must not be cut off from its neighbours."""
-        cuttable = [bool(p) and not (p[0].isspace() or p[-1].isspace() or p[0] == _WHITE or p[-1] == _WHITE) for p in pieces]
+        cuttable = [p != "" and p.strip() == p for p in pieces]  # "\x85" is white space here as well
         if any(a in x for x in (" ".join(pieces),) for a in self.added):
             cuttable = [c and not any(a in p for a in self.added) for c, p in zip(cuttable, pieces, strict=True)]
         good = [*itertools.compress(pieces, cuttable)]
