@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import os
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -26,7 +25,6 @@ _WHITE = "\x85"
 
 @functools.lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core; the library's own threads would wait at the cost of others
     found = Tokenizer.from_file(path)
     found.no_truncation()
     found.no_padding()
