@@ -11,9 +11,10 @@ from __future__ import annotations
 import functools
 import itertools
 from collections import defaultdict
-from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Pieces a worker remembers at most (about 200 bytes each); then it starts anew.
@@ -31,6 +32,12 @@ def tokenizer(path: str) -> Tokenizer:
     return found
 
 
+def cut(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """Pieces of all texts between spaces, and the place of each text's first one, with the end."""
+    lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    return lists.values, lists.offsets.to_numpy().astype(np.int64)
+
+
 class Pieces:
     """What the library gives for distinct pieces."""
 
@@ -50,15 +57,17 @@ class Pieces:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
-    def number(self, cut: Iterable[list[str]], n: int) -> np.ndarray:
-        """Numbers of n pieces; new ones are learnt."""
+    def number(self, pieces: pa.Array) -> np.ndarray:
+        """Numbers of pieces; new ones are learnt. Python sees each distinct one once."""
         if len(self.numbers) > MEMO_PIECES:
             self.reset()
-        found = np.fromiter(map(self.numbers.__getitem__, itertools.chain.from_iterable(cut)), np.int64, n)
+        found = pieces.dictionary_encode()
+        distinct = found.dictionary.to_pylist()
+        known = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
         new = [*itertools.islice(reversed(self.numbers), len(self.numbers) - len(self.sizes))][::-1]
         if new:
             self.sizes = np.concatenate([self.sizes, self.learn(new)])
-        return found
+        return known[found.indices.to_numpy()]
 
 
 class PieceIds(Pieces):
@@ -96,10 +105,12 @@ class PieceIds(Pieces):
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        cut = [t.split(" ") for t in texts]
-        counts = np.array([len(p) - 1 for p in cut], np.int64)
-        heads = [p.pop(0) for p in cut]  # the first piece has no space before it
-        number = self.number(cut, int(counts.sum()))
+        pieces, first = cut(texts)
+        head = np.zeros(len(pieces), bool)
+        head[first[:-1]] = True  # the first piece has no space before it
+        heads = pieces.filter(pa.array(head)).to_pylist()
+        counts = np.diff(first) - 1
+        number = self.number(pieces.filter(pa.array(~head)))
         sizes = self.sizes[number]
         owner = np.repeat(np.arange(len(texts)), counts)
         whole = np.bincount(owner[sizes < 0], minlength=len(texts)) > 0
@@ -108,8 +119,8 @@ class PieceIds(Pieces):
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.begin[number] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)]
         rest = np.split(ids, np.concatenate([[0], ends])[np.cumsum(counts)][:-1])
-        first = self.ids([t if w else h for t, h, w in zip(texts, heads, whole.tolist(), strict=True)])
-        return [f if w else np.concatenate([f, r]) for f, r, w in zip(first, rest, whole.tolist(), strict=True)]
+        begun = self.ids([t if w else h for t, h, w in zip(texts, heads, whole.tolist(), strict=True)])
+        return [b if w else np.concatenate([b, r]) for b, r, w in zip(begun, rest, whole.tolist(), strict=True)]
 
 
 class PieceCounts(Pieces):
@@ -131,10 +142,9 @@ class PieceCounts(Pieces):
 
     def count(self, texts: list[str]) -> list[int]:
         """Number of ids of each text."""
-        cut = [t.split(" ") for t in texts]
-        counts = np.array([len(p) for p in cut], np.int64)  # one at least
-        number = self.number(cut, int(counts.sum()))
-        return np.add.reduceat(self.sizes[number], np.cumsum(counts) - counts).tolist() if len(texts) else []
+        pieces, first = cut(texts)  # one piece of each text at least
+        number = self.number(pieces)
+        return np.add.reduceat(self.sizes[number], first[:-1]).tolist() if len(texts) else []
 
 
 @functools.lru_cache(maxsize=2)
