@@ -13,7 +13,7 @@ from one pass over the texts and one exchange, in which copies of a chunk leave
 takes every chunk from the files, checks its digest, and gives each document's length and crc32 from its chunks
 without moving ids again: crc32 of a whole is the exclusive or of the chunks' crc32s, each shifted by the bytes
 that follow. Null texts are empty (only END); rows with the same doc_id stay separate by `row`; an empty table
-gives no documents. Chunks are in the order of their digests, as they are found by content; the manifest is in ascending
+gives no documents. Chunks are in an order that follows from their digests, as they are found by content; the manifest is in ascending
 order of doc_id (nulls first, equal ones by `row`), and with the recipes gives the ids in that order.
 """
 
@@ -146,7 +146,7 @@ def _encode(path: str):
 
 
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drops chunks whose digest equals the one before; chunks are sorted by digest."""
+    """Drops chunks whose digest equals the one before; equal digests stand together."""
     last = None
     for batch in batches:
         if not batch.num_rows:
@@ -162,7 +162,10 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str | None = None) -
     """Encodes docs (doc_id, text) and writes the store's tables to `path`."""
     path = path or shared_path(docs.sparkSession, "store")
     rows = docs.select("doc_id", "text").mapInArrow(_encode(tokenizer_path), _ROWS)
-    dealt = rows.repartition("key").sortWithinPartitions("kind", "digest")
+    # one long to sort by: strings of one kind, or digests alone, would be compared row by row
+    place = F.when(F.col("kind") == "chunk", 0).when(F.col("kind") == "document", 1).otherwise(2).cast("long")
+    order = F.shiftleft(place, 61).bitwiseOR(F.shiftrightunsigned("key", 3))
+    dealt = rows.repartition("key").withColumn("order", order).sortWithinPartitions("order", "digest").drop("order")
     write_table(dealt.mapInArrow(_once, _ROWS).drop("key"), f"{path}/rows", "kind")
     parts = docs.sparkSession.read.schema(f"{_ROWS.replace('key long, ', '')}").parquet(f"{path}/rows")
     manifest = running_total(parts.where("kind = 'document'").select("doc_id", "row", F.col("n").cast("long").alias("n"), "root"), ["doc_id", "row"], "n", "start", "rank")
