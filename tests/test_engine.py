@@ -37,7 +37,7 @@ def test_matches_sql(spark, duck, name):
 
 def test_string_key_join_is_whole(spark, duck):
     expected = duck.execute("SELECT SUM(n * n) FROM (SELECT COUNT(*) AS n FROM part WHERE p_name IS NOT NULL GROUP BY p_name)").fetchone()[0]
-    assert Q.queries()["join_string_key_whole"](spark, SF).count() == expected
+    assert Q.queries()["join_string_key"](spark, SF).count() == expected
 
 
 def test_entry(spark):
