@@ -88,7 +88,7 @@ _add("project", "SELECT p_partkey, p_name, p_retailprice FROM part WHERE p_retai
 _add("join_equi", "SELECT s_suppkey, s_name, l_orderkey, l_linenumber, l_extendedprice FROM supplier, lineitem WHERE s_suppkey = l_suppkey", _both("supplier", "lineitem", lambda a, b: R.project(R.join(a, b, "(s_suppkey = l_suppkey)"), "s_suppkey", "s_name", "l_orderkey", "l_linenumber", "l_extendedprice")))
 _add("join_equi_residual", "SELECT o_orderkey, o_totalprice, l_linenumber, l_extendedprice FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_quantity > 40 AND o_totalprice < l_extendedprice", _both("orders", "lineitem", lambda a, b: R.project(R.join(a, b, "(o_orderkey = l_orderkey) AND (l_quantity > 40.0) AND (o_totalprice < l_extendedprice)"), "o_orderkey", "o_totalprice", "l_linenumber", "l_extendedprice")))
 _add("join_multi_key", "SELECT s_suppkey, c_custkey FROM supplier, customer WHERE s_nationkey = c_nationkey AND s_suppkey = c_custkey", _both("supplier", "customer", lambda a, b: R.project(R.join(a, b, "(s_nationkey = c_nationkey) AND (s_suppkey = c_custkey)"), "s_suppkey", "c_custkey")))
-_add("join_string_key", "SELECT a.p_partkey, b.p_partkey AS q_partkey FROM part a, part b WHERE a.p_name = b.p_name", _on("part", lambda t: R.project(R.join(t, t.select(F.col("p_partkey").alias("q_partkey"), F.col("p_name").alias("q_name")), "(p_name = q_name)"), "p_partkey", "q_partkey")))
+_add("join_string_key", "SELECT a.p_partkey, b.p_partkey AS q_partkey FROM part a, part b WHERE a.p_name = b.p_name", _on("part", lambda t: R.project(R.join(t.select("p_partkey", "p_name"), t.select(F.col("p_partkey").alias("q_partkey"), F.col("p_name").alias("q_name")), "(p_name = q_name)", hint="blocks"), "p_partkey", "q_partkey")))
 _add("join_sort_merge", "SELECT o_orderkey, c_custkey, c_mktsegment FROM orders, customer WHERE o_custkey = c_custkey", _both("orders", "customer", lambda a, b: R.project(R.join(a, b, "(o_custkey = c_custkey)", hint="merge"), "o_orderkey", "c_custkey", "c_mktsegment")))
 _add("join_theta", "SELECT * FROM nation, region WHERE n_nationkey < r_regionkey", _both("nation", "region", lambda a, b: R.join(a, b, "(n_nationkey < r_regionkey)")))
 _add("join_cross", "SELECT * FROM region, nation", _both("region", "nation", lambda a, b: R.join(a, b)))

@@ -40,6 +40,28 @@ def test_string_key_join_is_whole(spark, duck):
     assert Q.queries()["join_string_key"](spark, SF).count() == expected
 
 
+def test_block_join(spark, monkeypatch):
+    monkeypatch.setattr(R, "SPAN", 64)
+    monkeypatch.setattr(R, "BLOCK", 5)
+    a = spark.createDataFrame([(i if i % 9 else None, [None, "x", "y", f"z{i}"][i % 4], float(i % 7)) for i in range(200)], "`k.1` long, s string, u double")
+    b = spark.createDataFrame([(["x", "x", "y", None, "w"][i % 5], i, float(i % 3)) for i in range(150)], "t string, n int, v double")
+    for where in ("(s = t)", "(t = s) AND (u > v)", "(s = t) AND (u = v)", "(s = t) AND (u = v OR n < 7)"):
+        plain, blocks = R.join(a, b, where), R.join(a, b, where, hint="blocks")
+        assert blocks.schema.names == plain.schema.names
+        assert sorted(map(repr, blocks.collect())) == sorted(map(repr, plain.collect()))
+    assert R.join(a.limit(0), b, "(s = t)", hint="blocks").count() == 0
+    with pytest.raises(ValueError, match="blocks"):
+        R.join(a, b, "(s < t)", hint="blocks")
+
+
+def test_string_key_join_is_dealt_evenly(spark, tmp_path):
+    rows = spark.range(600).select(F.col("id").alias("p_partkey"), F.lit("one name").alias("p_name"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    joined = Q.queries()["join_string_key"](spark, str(tmp_path))
+    tasks = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == 600 * 600 and max(tasks) < 600 * 600 / 4
+
+
 def test_entry(spark):
     assert sorted(map(tuple, E.entry(spark).collect())) == [(255, 0), (295, 3), (304, 2), (361, 1), (529, 4)]
 
