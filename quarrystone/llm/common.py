@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -93,6 +94,16 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", budget: int
             end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + budget, "right")) - 1)
             yield batch.slice(start, end - start), [t or b"" for t in texts.slice(start, end - start).to_pylist()]
             start = end
+    batch = texts = None
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that this worker has freed goes back to the system; workers outlive their tasks, beside stages of the JVM alone."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
 
 
 def hold(owner: str, clear: Callable[[], None]) -> None:

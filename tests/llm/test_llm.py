@@ -540,6 +540,19 @@ def test_scores_agree_with_the_kernel():
     assert machine.words(words) == pytest.approx(x[:4] @ w[:-1] + w[-1], abs=1e-3)
 
 
+def test_slices_give_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from quarrystone.llm import common
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1), raising=False)
+    batches = [pa.RecordBatch.from_arrays([pa.array(["abc"] * 5)], names=["text"])] * 3
+    assert sum(len(texts) for _, texts in common.slices(iter(batches), budget=6)) == 15 and given == [1]
+    monkeypatch.undo()
+    common.give_back()
+
+
 def test_long_words_in_bounded_memory():
     import tracemalloc
 
