@@ -17,8 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-#: Pieces a worker remembers at most (about 200 bytes each); then it starts anew.
-MEMO_PIECES = 800_000
+#: Pieces a worker remembers at most (about 200 bytes each); then it starts anew. For counts, which have seconds to spare, fewer.
+MEMO_PIECES, MEMO_COUNTS = 800_000, 400_000
 #: Pieces that go to the library in one string.
 TOGETHER = 300
 _WHITE = "\x85"
@@ -51,6 +51,9 @@ class Pieces:
             self.library.model._resize_cache(0)  # pieces come once
         self.reset()
 
+    def most(self) -> int:
+        return MEMO_PIECES
+
     def reset(self) -> None:
         self.numbers, self.sizes = defaultdict(itertools.count().__next__), np.zeros(0, np.int64)  # in the order in which they were met
 
@@ -59,7 +62,7 @@ class Pieces:
 
     def number(self, pieces: pa.Array) -> np.ndarray:
         """Numbers of pieces; new ones are learnt. Python sees each distinct one once."""
-        if len(self.numbers) > MEMO_PIECES:
+        if len(self.numbers) > self.most():
             self.reset()
         found = pieces.dictionary_encode()
         distinct = found.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist takes four times as long
@@ -126,6 +129,9 @@ class PieceIds(Pieces):
 class PieceCounts(Pieces):
     """For tokenizers that drop white space: any space is a boundary."""
 
+    def most(self) -> int:
+        return MEMO_COUNTS
+
     def learn(self, pieces: list[str]) -> np.ndarray:
         """How many ids each new piece has."""
         out = np.zeros(len(pieces), np.int64)

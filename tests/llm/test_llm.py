@@ -553,6 +553,28 @@ def test_slices_give_memory_back(monkeypatch):
     common.give_back()
 
 
+def test_counts_cut_little_text_at_once(monkeypatch):
+    import pyarrow as pa
+
+    sizes = []
+    own = type("Own", (), {"count": staticmethod(lambda texts: sizes.append(sum(map(len, texts))) or [7] * len(texts))})
+    monkeypatch.setattr(counts, "piece_counts", lambda path: own)
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i).encode() for i in range(3000)]), pa.array(["x" * 2000] * 3000)], names=["digest", "text"])
+    found = [*counts._count("p", "v")(iter([batch]))]
+    assert sum(b.num_rows for b in found) == 3000 and sum(sizes) == 6_000_000 and max(sizes) <= 1 << 20
+
+
+def test_counts_that_start_anew_are_the_same(monkeypatch, docs):
+    from quarrystone.llm import encoding
+
+    texts = [t for t in docs.values()][:60]
+    whole = PieceCounts(tokenizer_path("word_bpe_49k.json")).count(texts)
+    monkeypatch.setattr(encoding, "MEMO_COUNTS", 50, raising=False)
+    small, most = PieceCounts(tokenizer_path("word_bpe_49k.json")), max(len(set(t.split(" "))) for t in texts)
+    for text, n in zip(texts, whole, strict=True):
+        assert small.count([text]) == [n] and len(small.numbers) <= 50 + most
+
+
 def test_long_words_in_bounded_memory():
     import tracemalloc
 
